@@ -22,7 +22,7 @@ class CategorizerConfig:
     fine_trainer: str = "ensemble"      # 'ensemble' | 'nb'
     inverse_regularisation: float = 2.0
     ovr_reg_param: float = 1e-5
-    max_iter: int = 100
+    max_iter: int = 50
     tol: float = 1e-3
     nb_alpha: float = 0.5
     ensemble_weights: tuple[float, float] = (0.7, 0.3)

@@ -68,7 +68,7 @@ def fit_one_vs_rest(table: DataFrame, label: str, classes: list[str], cfg: Categ
     return [m.coefficients.toArray() for m in model.models], [float(m.intercept) for m in model.models]
 
 
-def fit_many(jobs: list, workers: int = 3) -> list:
+def fit_many(jobs: list, workers: int = 6) -> list:
     """Run independent fits with overlapping Spark jobs."""
     with ThreadPoolExecutor(max_workers=workers) as pool:
         return [f.result() for f in [pool.submit(job) for job in jobs]]

@@ -81,7 +81,7 @@ def with_probabilities(df: DataFrame, heads: list[Head], digits: int, *, scores:
     out = df
     for step in (z, top, e, total, arrays):
         out = out.withColumns(step) if step else out
-    return out.drop(*z, *top, *e, *total)
+    return fence(out.drop(*z, *top, *e, *total), *arrays)
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -109,6 +109,17 @@ def coarse_boost(df: DataFrame, classes, cfg: CategorizerConfig, *, text: str =
         .drop(*raised, "__sum")
 
 
+def fence(df: DataFrame, *columns: str) -> DataFrame:
+    """Pass the named columns through a one-row generator.
+
+    A later filter on them stays above the generator.  Without it the optimizer
+    would copy the whole probability arithmetic into the filter, step by step,
+    until planning no longer ends.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.stack(F.lit(1), *[F.col(c) for c in columns]).alias(*columns))
+
+
 def argmax_class(p: Column, classes) -> Column:
     """Class with the highest probability; the first of equals."""
     return F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position(p, F.array_max(p)).cast("int"))
@@ -130,7 +141,8 @@ def route(df: DataFrame, cfg: CategorizerConfig, classes, thresholds: dict, *, t
         .withColumn("coarse_top", argmax_class(F.col("boosted_p"), classes)) \
         .withColumn("coarse_confidence", F.array_max("boosted_p"))
     reached = F.col("coarse_confidence") >= _lookup(thresholds, F.col("coarse_top"), fv.DEFAULT_THRESHOLD)
-    return top.withColumn("coarse_label", F.when(reached, F.col("coarse_top")).otherwise(fv.DEFAULT_COARSE))
+    routed = top.withColumn("coarse_label", F.when(reached, F.col("coarse_top")).otherwise(fv.DEFAULT_COARSE))
+    return fence(routed, "boosted_p", "coarse_top", "coarse_confidence", "coarse_label")
 
 
 @dataclass(frozen=True)
@@ -183,9 +195,10 @@ def fine_decide(df: DataFrame, cfg: CategorizerConfig, buckets: dict[str, Bucket
         .otherwise(F.lit(fv.MISSING_CONFIDENCE))
     rule = F.when(is_fitted, lx.override_rule(F.col(text), cfg.override_rules))
     out = chosen.withColumns({"label_raw": label_raw, "confidence": confidence, "rule": rule, "fitted": is_fitted})
-    return out.withColumn("label", lx.apply_override(F.col("label_raw"), F.col("rule"), cfg.override_rules)) \
+    out = out.withColumn("label", lx.apply_override(F.col("label_raw"), F.col("rule"), cfg.override_rules)) \
         .withColumn("needs_review", F.when(F.col("fitted"), F.col("confidence")).otherwise(
             F.col("coarse_confidence")) < low)
+    return fence(out, "fine_class", "label_raw", "label", "rule", "fitted", "confidence", "needs_review")
 
 
 def top_contributions(df: DataFrame, terms: DataFrame, width: int, cfg: CategorizerConfig, *, slot: str = "slot",

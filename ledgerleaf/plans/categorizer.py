@@ -168,7 +168,7 @@ class Categorizer:
 
         heads, matrices, blocks, offset = [], [], [], 0
         if cfg.coarse_trainer != "nb" or ensemble:
-            vectors = ln.vector_table(values, train, ft.max_terms(cfg), columns=("label", "coarse"))
+            vectors = ln.vector_table(values, train, vocab.count(), columns=("label", "coarse"))
             jobs = []
             if cfg.coarse_trainer != "nb":
                 fit = ln.fit_softmax if cfg.coarse_trainer == "lr" else ln.fit_one_vs_rest
