@@ -362,9 +362,9 @@ ORACLES: dict[str, tuple[list[str], str]] = {
     "char_ngrams": (["tf_docs"], "SELECT term, sum(tf)::BIGINT AS total FROM tf_docs WHERE starts_with(term, 'c__') GROUP BY term"),
     "lexicon_match": (["tx"], "SELECT row_id, " + ", ".join(f"{hit(b)} AS hit_{b}" for b in fv.LEXICON) + ", " + ", ".join(
         f"{coarse_hit(k)} AS coarse_{k}" for k in dict.fromkeys(fv.LEXICON_COARSE.values())) + " FROM tx"),
-    "lexicon_join": (["tx"], "SELECT bucket, count(*) AS hits, count(DISTINCT row_id) AS n_lines FROM tx JOIN (" + values(
-        [(lit(b), lit("(?i)" + rx(p))) for b, pats in fv.LEXICON.items() for p in pats]) + ") l(bucket, pattern) "
-        "ON regexp_matches(coalesce(narrative, ''), pattern) GROUP BY bucket"),
+    "lexicon_join": (["tx"], "SELECT bucket, count(*) AS hits, count(DISTINCT row_id) AS n_lines FROM (" + " UNION ALL ".join(
+        f"SELECT {lit(b)} AS bucket, row_id FROM tx WHERE {found('narrative', p)}" for b, pats in fv.LEXICON.items() for p in pats)
+        + ") GROUP BY bucket"),
     "hard_override": (["tx"], f"SELECT row_id, category_id, rule, coalesce({RULE_LABEL}, category_id) AS label FROM "
                               f"(SELECT *, {rule_case(chr(108) + 'ower(coalesce(narrative, ' + chr(39) * 2 + '))')} AS rule FROM tx)"),
     "explain_parse": (["scored", "explained"], """SELECT row_id, len(parts)::INT AS n_parts, array_to_string(parts, '|') AS parts FROM (
