@@ -126,6 +126,10 @@ class Categorizer:
         cfg = self.cfg
         rows = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.col(label).alias("label")) \
             .withColumn("coarse", lb.coarse_of(F.col("label"), cfg.hierarchy))
+        # the narrow table is read by every pass below; the source may be wide or costly to derive
+        path = new_path(df.sparkSession, "training")
+        rows.write.parquet(path)
+        rows = df.sparkSession.read.parquet(path)
         if cfg.calibrate_on == "holdout":
             held = tx.draw(F.col("row_id"), f"holdout-{cfg.coarse_seed}") < cfg.holdout_fraction
             train, calibration = rows.where(~held), rows.where(held)

@@ -40,9 +40,14 @@ def query(fn):
 # ---- inputs -------------------------------------------------------------------
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    """Statement lines with a stable train/test mark."""
-    split = F.when(tx.draw(F.col("row_id"), "split") < 0.2, "test").otherwise("train")
-    return statements(spark, d).withColumn("split", split).withColumn("text", F.col("narrative"))
+    """Statement lines with a stable train/test mark, stored once per session."""
+    def make():
+        path = new_path(spark, "lines")
+        split = F.when(tx.draw(F.col("row_id"), "split") < 0.2, "test").otherwise("train")
+        statements(spark, d).withColumn("split", split).withColumn("text", F.col("narrative")).write.parquet(path)
+        return path
+
+    return spark.read.parquet(_once(spark, d, "lines", make))
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
