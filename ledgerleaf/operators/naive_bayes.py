@@ -12,10 +12,10 @@ def class_sums(values: DataFrame, label: str, classes: list[str]) -> DataFrame:
     Rows are partially summed before the shuffle, so a term that most rows hold
     reaches the reducer as one row per map task.
     """
-    value = F.coalesce(F.col("value"), F.lit(0.0))
-    return values.groupBy("term").agg(
-        F.first("idx").alias("idx"),
-        F.array(*[F.sum(F.when(F.col(label) == c, value).otherwise(F.lit(0.0))) for c in classes]).alias("sums"))
+    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label))
+    per_class = ", ".join(f"sum(if(class_no = {i + 1}, value, 0D))" for i in range(len(classes)))
+    return values.withColumn("class_no", position).groupBy("term").agg(
+        F.first("idx").alias("idx"), F.expr(f"array({per_class}) AS sums"))
 
 
 def complement_weights(sums: DataFrame, blocks: list[list[list[int]]], alpha: float = 0.5,
@@ -26,17 +26,13 @@ def complement_weights(sums: DataFrame, blocks: list[list[list[int]]], alpha: fl
     positions of ``sums`` that it adds up.  One pass serves the coarse model and
     every bucket: (term, idx, w) with the classes of all blocks side by side.
     """
-    def total(ids):
-        out = F.col("sums")[ids[0]]
-        for i in ids[1:]:
-            out = out + F.col("sums")[i]
-        return out
-
+    total = lambda ids: " + ".join(f"sums[{i}]" for i in ids)
     outside = []
     for classes in blocks:
         everything = total([i for ids in classes for i in ids])
-        outside += [everything - total(ids) + F.lit(alpha) for ids in classes]
-    table = sums.select("term", "idx", *[c.alias(f"__c{i}") for i, c in enumerate(outside)])
-    totals = table.agg(F.array(*[F.sum(f"__c{i}") for i in range(len(outside))]).alias("t")).scalar()
-    weights = F.array(*[F.log(totals[i]) - F.log(F.col(f"__c{i}")) for i in range(len(outside))])
-    return table.select("term", "idx", weights.alias(column))
+        outside += [f"({everything}) - ({total(ids)}) + {alpha!r}D AS c{len(outside) + j}" for j, ids in enumerate(classes)]
+    table = sums.selectExpr("term", "idx", *outside)
+    n = range(len(outside))
+    totals = table.selectExpr(f"array({', '.join(f'sum(c{i})' for i in n)}) AS t").scalar()
+    with_totals = table.withColumn("t", totals)
+    return with_totals.selectExpr("term", "idx", f"array({', '.join(f'ln(t[{i}]) - ln(c{i})' for i in n)}) AS {column}")

@@ -51,9 +51,9 @@ def linear_scores(df: DataFrame, terms: DataFrame, width: int, cfg: CategorizerC
     weighed = joined.select(row_id, ft.branch_of(F.col("term")).alias("branch"), v.alias("v"), "w")
     per_branch = weighed.groupBy(row_id, "branch").agg(
         F.sum(F.col("v") * F.col("v")).alias("sq"),
-        *[F.sum(F.col("v") * F.col("w")[k]).alias(f"s{k}") for k in range(width)])
+        *[F.expr(f"sum(v * w[{k}]) AS s{k}") for k in range(width)])
     return per_branch.groupBy(row_id).agg(
-        F.array(*[F.sum(F.col(f"s{k}") / F.sqrt("sq")) for k in range(width)]).alias("scores"))
+        F.expr(f"array({', '.join(f'sum(s{k} / sqrt(sq))' for k in range(width))}) AS scores"))
 
 
 def with_probabilities(df: DataFrame, heads: list[Head], digits: int, *, scores: str = "scores") -> DataFrame:
@@ -62,26 +62,29 @@ def with_probabilities(df: DataFrame, heads: list[Head], digits: int, *, scores:
     Each step is its own projection of plain columns: what is used twice is
     computed once, inside generated code.  Heads of one bucket vote by weight.
     """
-    z, top, e, total, arrays = {}, {}, {}, {}, {}
+    z, top, e, total, arrays = [], [], [], [], []
     for h, head in enumerate(heads):
+        k = range(len(head.classes))
         bias = head.intercepts or (0.0,) * len(head.classes)
-        for i in range(len(head.classes)):
-            z[f"__z{h}_{i}"] = F.coalesce(F.col(scores)[head.offset + i], F.lit(0.0)) + F.lit(float(bias[i]))
-            at = F.col(f"__z{h}_{i}")
-            e[f"__e{h}_{i}"] = F.exp(at - F.col(f"__m{h}")) if head.link == "softmax" else F.lit(1.0) / (F.exp(-at) + 1)
+        z += [f"coalesce({scores}[{head.offset + i}], 0D) + {float(bias[i])!r}D AS z{h}_{i}" for i in k]
         if head.link == "softmax":
-            top[f"__m{h}"] = F.greatest(*[F.col(f"__z{h}_{i}") for i in range(len(head.classes))])
-        total[f"__t{h}"] = _sum([F.col(f"__e{h}_{i}") for i in range(len(head.classes))])
+            top.append(f"greatest({', '.join(f'z{h}_{i}' for i in k)}) AS top{h}")
+            e += [f"exp(z{h}_{i} - top{h}) AS e{h}_{i}" for i in k]
+        else:
+            e += [f"1D / (1D + exp(-z{h}_{i})) AS e{h}_{i}" for i in k]
+        total.append(f"{' + '.join(f'e{h}_{i}' for i in k)} AS total{h}")
+    names = []
     for bucket in dict.fromkeys(h.bucket for h in heads):
         mine = [h for h, head in enumerate(heads) if head.bucket == bucket]
         votes = sum(heads[h].vote for h in mine)
-        arrays[f"fine_p_{bucket}" if bucket else "coarse_p"] = F.array(*[
-            F.round(_sum([F.col(f"__e{h}_{i}") / F.col(f"__t{h}") * F.lit(heads[h].vote / votes) for h in mine]), digits)
-            for i in range(len(heads[mine[0]].classes))])
+        votes_of = lambda i: " + ".join(f"e{h}_{i} / total{h} * {heads[h].vote / votes!r}D" for h in mine)
+        names.append(f"fine_p_{bucket}" if bucket else "coarse_p")
+        per_class = ", ".join(f"round({votes_of(i)}, {digits})" for i in range(len(heads[mine[0]].classes)))
+        arrays.append(f"array({per_class}) AS {names[-1]}")
     out = df
-    for step in (z, top, e, total, arrays):
-        out = out.withColumns(step) if step else out
-    return fence(out.drop(*z, *top, *e, *total), *arrays)
+    for step in (z, top, e, total):
+        out = out.selectExpr("*", *step) if step else out
+    return fence(out.selectExpr(*[f"`{c}`" for c in df.columns], *arrays), *names)
 
 
 def _sum(columns: list[Column]) -> Column:

@@ -19,10 +19,14 @@ def grid(rule: str = "v7") -> list[float]:
     return [float(x) for x in points]
 
 
+def _literal(points: list[float]) -> Column:
+    return F.expr(f"array({', '.join(f'{x!r}D' for x in points)})")
+
+
 def grid_bin(p: Column, points: list[float]) -> Column:
     """Number of grid points that are <= p: a guess by division, corrected by
     comparing with the two neighbouring points."""
-    table = F.array(*[F.lit(x) for x in points])
+    table = _literal(points)
     n = len(points)
     step = (points[-1] - points[0]) / (n - 1)
     guess = F.least(F.greatest(F.floor((p - points[0]) / step).cast("int") + 1, F.lit(0)), F.lit(n))
@@ -39,7 +43,7 @@ def threshold_search(df: DataFrame, keys: list[str], y: str = "y", p: str = "p",
     to find the first best one.
     """
     points = grid(rule)
-    table = F.array(*[F.lit(x) for x in points])
+    table = _literal(points)
     counts = df.groupBy(*keys, grid_bin(F.col(p), points).alias("bin")).agg(
         F.sum(F.col(y).cast("long")).alias("pos"), F.count(F.lit(1)).alias("cnt"))
     down = W.partitionBy(*keys).orderBy(F.desc("bin"))

@@ -234,9 +234,10 @@ class Categorizer:
 def calibration_pairs(scored: DataFrame, model: CategorizerModel) -> DataFrame:
     """(level, bucket, cls, y, p): one row per sampled row and class of its level."""
     def pairs(classes, p, truth):
-        return F.array(*[
-            F.struct(F.lit(c).alias("cls"), (F.col(truth) == c).cast("int").alias("y"), F.col(p)[i].alias("p"))
-            for i, c in enumerate(classes)])
+        quoted = [c.replace("\\", "\\\\").replace("'", "\\'") for c in classes]
+        names = "array(" + ", ".join(f"'{c}'" for c in quoted) + ")"
+        return F.expr(f"transform({p}, (x, i) -> named_struct('cls', {names}[i], "
+                      f"'y', cast({names}[i] = {truth} AS int), 'p', x))")
 
     per_row = F.when(F.col("level") == "coarse", pairs(model.coarse_classes, "coarse_p", "coarse"))
     for b in model.fitted_buckets:
