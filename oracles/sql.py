@@ -143,7 +143,7 @@ def tf_of(source: str) -> str:
 
 
 def vocab_of(stats: str, words: int, chars: int) -> str:
-    return f"""SELECT term, df, total, row_number() OVER (ORDER BY starts_with(term, 'c__'), term) - 1 AS idx
+    return f"""SELECT term, df, total, (row_number() OVER (ORDER BY starts_with(term, 'c__'), term) - 1)::INTEGER AS idx
       FROM (SELECT *, row_number() OVER (PARTITION BY left(term, 1) ORDER BY total DESC, term) AS rn FROM {stats} WHERE df >= 2)
       WHERE rn <= CASE left(term, 1) WHEN 'w' THEN {words} ELSE {chars} END"""
 
@@ -328,7 +328,7 @@ ORACLES: dict[str, tuple[list[str], str]] = {
     "scan_transactions": (["tx"], """SELECT transaction_id, value_date, posted_at, amount, currency, dr_cr,
         nullif(merchant_name, '') AS merchant_name, reference, narrative, channel, account_type, city, keyword_hit,
         category_id, category_display_name FROM tx"""),
-    "scan_csv_roundtrip": (["docs"], "SELECT row_id, length(text) AS n_chars, md5(text) AS digest FROM docs"),
+    "scan_csv_roundtrip": (["docs"], "SELECT row_id, length(text)::INTEGER AS n_chars, md5(text) AS digest FROM docs"),
     "row_count": (["docs"], "SELECT count(*) AS total_rows FROM docs"),
     "text_lines": (["docs"], f"SELECT row_id, line FROM (SELECT row_id, {trimmed('l')} AS line FROM (SELECT row_id, "
                              r"unnest(string_split_regex(text, '\r\n|\r|\n')) AS l FROM docs)) WHERE line <> ''"),
