@@ -11,12 +11,35 @@ from ledgerleaf import fixed_values as fv
 _FLAGS = "(?iU)"
 
 
+def _alternatives(pattern: str) -> list[str]:
+    """Parts of a pattern between the '|' outside parentheses."""
+    parts, depth = [""], 0
+    for ch in pattern:
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += ch
+    return parts
+
+
+def combined(patterns) -> str:
+    """One pattern for several.  Those with a word border at both ends share the
+    borders, so that most positions of a text fail on a single test."""
+    bordered, others = [], []
+    for part in (x for p in patterns for x in _alternatives(p)):
+        inner = part[2:-2] if part.startswith(r"\b") and part.endswith(r"\b") else None
+        (others if inner is None else bordered).append(part if inner is None else inner)
+    shared = [rf"\b(?:{'|'.join(bordered)})\b"] if bordered else []
+    return "|".join([*shared, *others])
+
+
 def _any_of(text: Column, patterns) -> Column:
-    return text.rlike(_FLAGS + "|".join(f"(?:{p})" for p in patterns))
+    return text.rlike(_FLAGS + combined(patterns))
 
 
 def matches(text: Column, pattern: str) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(_FLAGS + pattern)
+    return F.coalesce(text, F.lit("")).rlike(_FLAGS + combined([pattern]))
 
 
 def bucket_hits(text: Column, lexicon: dict | None = None) -> dict[str, Column]:

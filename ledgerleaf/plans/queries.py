@@ -23,7 +23,7 @@ from ledgerleaf.operators import thresholds as th
 from ledgerleaf.plans.categorizer import Categorizer, CategorizerModel, calibration_pairs
 from ledgerleaf.plans.storage import new_path
 from ledgerleaf.sources import readers, writers
-from ledgerleaf.sources.statements import LABELS, load, statements
+from ledgerleaf.sources.statements import LABELS, load, spread, statements
 from ledgerleaf.streaming import scoring as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,7 +51,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return spread(load(spark, d, "documents").select(F.col("doc_id").alias("row_id"), "text"), "row_id")
 
 
 def feedback_log(spark: SparkSession, d: str) -> DataFrame:

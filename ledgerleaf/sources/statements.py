@@ -54,6 +54,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash a file scan over more tasks when it comes in few pieces.
+
+    One large row group would otherwise be expanded to n-grams by one task.  A
+    scan that already has enough splits is left alone, without a shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
+
+
 def _pick(values, index: Column) -> Column:
     """Element of a short literal list by zero-based index."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
@@ -61,7 +71,8 @@ def _pick(values, index: Column) -> Column:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One labelled statement line per order."""
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    orders = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
+                    "o_orderkey")
     customer = load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     k = F.col("row_id")
     kind, cycle = k % 16, F.floor(k / 16)
