@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import mixing
+from ledgerleaf.llm import bpe, mixing, token_files
 
-MODULES = (mixing,)
+MODULES = (bpe, mixing, token_files)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
