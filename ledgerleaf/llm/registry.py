@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import bpe, language_id, mixing, pii, spotsigs, token_files, warc
+from ledgerleaf.llm import bpe, language_id, mixing, pii, shingle_join, spotsigs, token_files, warc
 
-MODULES = (language_id, warc, bpe, mixing, pii, spotsigs, token_files)
+MODULES = (language_id, warc, bpe, mixing, pii, shingle_join, spotsigs, token_files)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
