@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import ann, bpe, language_id, mixing, pii, shingle_join, spotsigs, token_files, warc
+from ledgerleaf.llm import ann, bpe, language_id, line_dedup, mixing, pii, shingle_join, spotsigs, token_files, warc
 
-MODULES = (language_id, ann, shingle_join, warc, bpe, mixing, pii, spotsigs, token_files)
+MODULES = (language_id, ann, shingle_join, warc, bpe, mixing, pii, line_dedup, spotsigs, token_files)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
