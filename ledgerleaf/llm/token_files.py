@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.bpe import PairIndexEncoder, byte_symbols, chunked, default_vocabulary
-from ledgerleaf.llm.common import read
+from ledgerleaf.llm.common import read, uniform
 from ledgerleaf.plans.storage import new_path
 
 MAGIC = b"LLTOKIDS"
@@ -74,8 +74,9 @@ def id_type(size: int) -> np.dtype:
 
 def train_dictionary(docs: DataFrame, bpe: LibraryEncoder, *, id_col: str, text_col: str, end_id: int) -> bytes:
     """Dictionary content; b"" where the sample is too small to train on, then frames stand alone."""
-    sample = (docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col).alias("h"))
-              .where(F.length("text").between(1, SAMPLE_CHARS)).orderBy("h", "text").limit(SAMPLE_DOCS))
+    chance = min(1.0, 1.5 * SAMPLE_DOCS / max(1, docs.count()))  # so that tasks together give the driver about a sample
+    sample = (docs.select(F.col(text_col).alias("text"), uniform(F.col(id_col), seed=10).alias("h"))
+              .where((F.col("h") <= chance) & F.length("text").between(1, SAMPLE_CHARS)).orderBy("h", "text").limit(SAMPLE_DOCS))
     texts = [r.text for r in sample.collect()]
     kind = id_type(bpe.size)
     rows = [np.append(x, np.uint32(end_id)).astype(kind).tobytes() for x in bpe.encode_batch(texts)]
