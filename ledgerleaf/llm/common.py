@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.plans.storage import new_path
+
 #: A word: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
@@ -23,3 +25,17 @@ def uniform(*parts: Column, seed: int) -> Column:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether a table has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+class Stored:
+    """A table written to the shared folder: columns compressed, lineage cut, gone when it is dropped."""
+
+    def __init__(self, df: DataFrame, name: str) -> None:
+        self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
+        df.write.parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

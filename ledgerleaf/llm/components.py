@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.common import Stored
 from ledgerleaf.plans.storage import materialise
 
 #: Ids up to this number are broadcast to filter documents (a few ten MB); beyond, both sides are shuffled.
@@ -64,16 +65,20 @@ def link_lists(lists: DataFrame, able: Column, verify, first: list[str]) -> Data
     links: DataFrame | None = None
     found: DataFrame | None = None
     columns = [c for c in lists.columns if c not in ("key", "id")]
-    order = F.struct(*first, "id")
+    order, whole = F.struct(*first, "id"), W.partitionBy("key")
+    left: Stored | None = None
     stars = STAR_ROUNDS
     while True:
-        whole = W.partitionBy("key")
-        rows = label(lists, found).withColumns({
-            "head": F.min_by("component", order).over(whole), "low": F.min("component").over(whole),
-            "high": F.max("component").over(whole)}).where("low != high").drop("low", "high")
-        rows = materialise(rows)
+        # a list whose rows are in one component stays so: the next round reads only the others
+        rows = label(lists if left is None else left.df.select("key", "id", *columns), found)
+        rows = rows.withColumns({"head": F.min_by("component", order).over(whole), "low": F.min("component").over(whole),
+                                 "high": F.max("component").over(whole)}).where("low != high").drop("low", "high")
+        before, left = left, Stored(rows, "lists")
+        if before is not None:
+            before.drop()
+        rows = left.df
         if rows.isEmpty():
-            return found
+            break
         last = stars == 0
         if not last:  # one row a component and list
             packed = F.min(F.struct(*first, "id", *(c for c in columns if c not in first))).alias("x")
@@ -84,11 +89,13 @@ def link_lists(lists: DataFrame, able: Column, verify, first: list[str]) -> Data
         once = (F.col("b_component") == F.col("head")) | (F.col("a_id") < F.col("b_id"))
         met = a.join(b, (a["key"] == b["key"]) & (F.col("a_component") != F.col("b_component")) & once & able)
         pairs = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
-        new = materialise(verify(pairs))
+        new = materialise(verify(materialise(pairs)))
         none = new.isEmpty()
         if not none:
             links = new if links is None else links.unionByName(new)
             found = components(links)
         if last:
-            return found
+            break
         stars = 0 if none else stars - 1
+    left.drop()
+    return found

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import read
+from ledgerleaf.llm.common import Stored, read
 from ledgerleaf.llm.components import by_ids, label, link_lists
 from ledgerleaf.llm.pretokens import _weights
 from ledgerleaf.plans.storage import materialise
@@ -183,8 +183,8 @@ def choose_boundary(sizes: dict[int, int], list_length: float) -> int:
     return min(range(LARGEST_SMALL + 1), key=cost)
 
 
-def _lists(docs: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray], boundary: int) -> DataFrame:
-    """(key, id, n, place): one row for each key of each set; place is -1 for subsets."""
+def _lists(docs: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray], boundary: int) -> Stored:
+    """(key, id, n, place): one row for each key of each set that another set has too; place is -1 for subsets."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +220,7 @@ def _lists(docs: DataFrame, words: int, heavy: tuple[np.ndarray, np.ndarray], bo
 
     rows = docs.mapInArrow(run, "key long, id long, n int, place int")
     met = rows.withColumn("met", F.count(F.lit(1)).over(W.partitionBy("key"))).where("met > 1").drop("met")
-    return materialise(met)
+    return Stored(met, "shingle-lists")
 
 
 def _subset_key(chosen: np.ndarray, part: tuple[int, int, int]) -> int:
@@ -258,8 +258,20 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
         (F.col("a_n") - F.col("a_place") >= least) & (F.col("b_n") - F.col("b_place") >= least)
     able = (UNION * F.least("a_n", "b_n") >= SHARED * F.greatest("a_n", "b_n")) & (subset | scan)
 
+    # the shingles of a set's prefix that other sets have in theirs: a bound on what two sets share
+    fronts = Stored(lists.df.where("place >= 0").groupBy("id").agg(F.collect_set("key").alias("front"), F.max("n").alias("n")), "fronts")
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Pairs that can be linked by their fronts: what they share beyond lies behind the prefix of one of them."""
+        sides = [fronts.df.select(F.col("id").alias(s), F.col("front").alias(f"{s}_front"), F.col("n").alias(f"{s}_n")) for s in "ab"]
+        both = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
+        rest = F.greatest(*(F.ceil(SHARED * F.col(f"{s}_n") / UNION - 1e-9) - 1 for s in "ab"))
+        most = F.size(F.array_intersect("a_front", "b_front")) + rest
+        small = (F.greatest("a_n", "b_n") <= boundary) | F.col("a_n").isNull() | F.col("b_n").isNull()
+        return both.where(small | (most >= least)).select("a", "b")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs)
+        pairs = materialise(promising(pairs))
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +291,9 @@ def link(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wor
         union = F.size("a_set") + F.size("b_set") - shared
         return both.where(UNION * shared >= SHARED * union).select("a", "b")
 
-    found = link_lists(lists, able, verify, ["place", "n"])
+    found = link_lists(lists.df, able, verify, ["place", "n"])
+    lists.drop()
+    fronts.drop()
     named = label(members.select(F.col("class").alias("id"), F.col("id").alias("member")), found)
     named = named.select(F.col("member").alias("id"), "component")
     return (rows.select("id", F.col("n").cast("long").alias("n_shingles")).join(named, "id", "left")
