@@ -14,22 +14,23 @@ class CategorizerConfig:
     char_ngrams: tuple[int, int] = (3, 5)
     word_min_df: int = 2
     char_min_df: int = 2
-    word_max_features: int = 20_000
-    char_max_features: int = 20_000
+    word_max_features: int = 150_000
+    char_max_features: int = 100_000
     stop_tokens: tuple[str, ...] = tuple(fv.NOISE_TOKENS + fv.CITY_STOP)
     # training
     coarse_trainer: str = "lr"          # 'lr' | 'ovr' | 'nb'
     fine_trainer: str = "ensemble"      # 'ensemble' | 'nb'
     inverse_regularisation: float = 2.0
     ovr_reg_param: float = 1e-5
-    max_iter: int = 50
-    tol: float = 1e-3
+    max_iter: int = 2_000               # a guard; the tolerances end the fits
+    coarse_tol: float = 1e-3
+    fine_tol: float = 1e-4
     nb_alpha: float = 0.5
     ensemble_weights: tuple[float, float] = (0.7, 0.3)
     # labels
     hierarchy: dict = field(default_factory=lambda: dict(fv.HIERARCHY))
     coarse_floors: dict = field(default_factory=lambda: dict(fv.COARSE_FLOORS))
-    fine_floors: dict = field(default_factory=lambda: dict(fv.FINE_FLOORS))
+    fine_floors: dict | None = None     # None: those of the threshold rule
     # calibration
     threshold_rule: str = "v7"          # 'v7' | 'v6'
     calibrate_on: str = "train"         # 'train' | 'holdout'
@@ -52,7 +53,13 @@ class CategorizerConfig:
     # probabilities are rounded to this many digits before any comparison, so
     # that decisions do not depend on the order in which partitions are summed
     decision_digits: int = 6
-    max_labels: int = 1_000
+    max_labels: int = 1_000             # a guard: more distinct labels raise an error
+
+    @property
+    def effective_fine_floors(self) -> dict:
+        if self.fine_floors is not None:
+            return self.fine_floors
+        return fv.FINE_FLOORS_V6 if self.threshold_rule == "v6" else fv.FINE_FLOORS
 
     def __post_init__(self):
         if not 0.0 <= self.low_conf <= 1.0:

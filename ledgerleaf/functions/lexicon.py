@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ledgerleaf import fixed_values as fv
 
-# case-insensitive with Unicode-aware classes
-_FLAGS = "(?iU)"
+# case-insensitive, Unicode-aware classes, and only the line feed ends what "." matches
+_FLAGS = "(?idU)"
 
 
 def _alternatives(pattern: str) -> list[str]:

@@ -29,7 +29,7 @@ def hierarchy_table(spark, hierarchy: dict | None = None) -> DataFrame:
 
 def fine_to_coarse(df: DataFrame, label: str, hierarchy: DataFrame) -> DataFrame:
     """Add ``coarse``; labels outside the hierarchy fall to the default bucket."""
-    side = F.broadcast(hierarchy.select(F.col("fine").alias(label), F.col("coarse").alias("__coarse")))
+    side = hierarchy.select(F.col("fine").alias(label), F.col("coarse").alias("__coarse"))
     return df.join(side, label, "left").withColumn(
         "coarse", F.coalesce("__coarse", F.lit(fv.DEFAULT_COARSE))).drop("__coarse")
 
@@ -37,12 +37,14 @@ def fine_to_coarse(df: DataFrame, label: str, hierarchy: DataFrame) -> DataFrame
 def bucket_rows(df: DataFrame, label: str, hierarchy: DataFrame, bucket: str) -> DataFrame:
     """Rows whose label belongs to the bucket."""
     kids = hierarchy.where(F.col("coarse") == bucket).select(F.col("fine").alias(label))
-    return df.join(F.broadcast(kids), label, "left_semi")
+    return df.join(kids, label, "left_semi")
 
 
 def guessed_coarse(label: Column) -> Column:
-    """Bucket for a label that the hierarchy does not list."""
-    out = F.when(label.isin(*fv.GUESSED_SHOPPING), "SHOPPING")
+    """Bucket for a label that the hierarchy in use does not list: its place in the default one, else by name."""
+    pairs = [F.lit(x) for c, kids in fv.HIERARCHY.items() for f in kids for x in (f, c)]
+    usual = F.try_element_at(F.create_map(*pairs), label)
+    out = F.when(usual.isNotNull(), usual).when(label.isin(*fv.GUESSED_SHOPPING), "SHOPPING")
     for prefix, bucket in fv.GUESSED_PREFIX.items():
         out = out.when(label.startswith(prefix), bucket)
     return out.otherwise(fv.DEFAULT_COARSE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import LogisticRegression, OneVsRest
@@ -41,11 +42,19 @@ def _indexed(table: DataFrame, label: str, classes: list[str]) -> DataFrame:
     return table.withColumn("__y", position.cast("double"))
 
 
-def fit_softmax(table: DataFrame, label: str, classes: list[str], cfg: CategorizerConfig):
+def _ended(model, cfg: CategorizerConfig, what: str):
+    """Warn when the iteration limit and not the tolerance ended a fit."""
+    if model.hasSummary and model.summary.totalIterations >= cfg.max_iter:
+        warnings.warn(f"the fit of {what} stopped at max_iter={cfg.max_iter} before it converged", stacklevel=3)
+    return model
+
+
+def fit_softmax(table: DataFrame, label: str, classes: list[str], cfg: CategorizerConfig, tol: float | None = None):
     """Multinomial fit with balanced weights; (class x feature coefficients, intercepts).
 
     Balanced weights sum to n, and the library averages losses where the penalty
-    is stated for their sum: hence 1 / (C * n).
+    is stated for their sum: hence 1 / (C * n).  Two classes get two opposite rows, which together carry
+    half the penalty of the single row of a binary fit: hence twice that.
     """
     counts = {r["label"]: r["n"] for r in
               table.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -54,14 +63,16 @@ def fit_softmax(table: DataFrame, label: str, classes: list[str], cfg: Categoriz
     data = _indexed(table, label, classes).withColumn("__w", F.element_at(F.create_map(*pairs), F.col(label)))
     model = LogisticRegression(
         family="multinomial", featuresCol="features", labelCol="__y", weightCol="__w", standardization=False,
-        regParam=1.0 / (cfg.inverse_regularisation * n), maxIter=cfg.max_iter, tol=cfg.tol, aggregationDepth=2,
+        regParam=(2.0 if len(classes) == 2 else 1.0) / (cfg.inverse_regularisation * n),
+        maxIter=cfg.max_iter, tol=cfg.fine_tol if tol is None else tol, aggregationDepth=2,
     ).fit(data)
+    _ended(model, cfg, f"{label} ({len(classes)} classes)")
     return model.coefficientMatrix.toArray(), [float(x) for x in model.interceptVector.toArray()]
 
 
 def fit_one_vs_rest(table: DataFrame, label: str, classes: list[str], cfg: CategorizerConfig):
     """One binary fit per class."""
-    base = LogisticRegression(standardization=False, regParam=cfg.ovr_reg_param, maxIter=cfg.max_iter, tol=cfg.tol,
+    base = LogisticRegression(standardization=False, regParam=cfg.ovr_reg_param, maxIter=cfg.max_iter, tol=cfg.coarse_tol,
                               aggregationDepth=2)
     model = OneVsRest(classifier=base, featuresCol="features", labelCol="__y", parallelism=3).fit(
         _indexed(table, label, classes))

@@ -35,7 +35,7 @@ def amount_rules(df: DataFrame, label: str = "category_id", limits: dict | None
 
 
 def channel_rules(df: DataFrame, label: str = "category_id") -> DataFrame:
-    words = lambda v: F.array(*[F.lit(c) for c in (v.split() if isinstance(v, str) else v)])
+    words = lambda v: F.array(*[F.lit(c) for c in v])
     expected = F.coalesce(F.try_element_at(_map(fv.CHANNELS, words), F.col(label)), words(fv.CHANNELS_DEFAULT))
     return df.withColumn("odd_channel", ~F.array_contains(expected, F.col("channel")))
 
@@ -55,14 +55,14 @@ def currency_rules(df: DataFrame) -> DataFrame:
 def label_name_rules(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """The label's display name differs from the one on the row."""
     names = taxonomy.select(F.col("id").alias("category_id"), F.col("display_name").alias("expected_name"))
-    return df.join(F.broadcast(names), "category_id", "left").withColumn(
+    return df.join(names, "category_id", "left").withColumn(
         "name_mismatch", F.coalesce(F.col("expected_name") != F.col("category_display_name"), F.lit(True)))
 
 
 def direction_rules(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """Credit rows outside the income group, debit rows inside, refunds labelled as something else."""
     groups = taxonomy.select(F.col("id").alias("category_id"), F.col("group").alias("label_group"))
-    out = df.join(F.broadcast(groups), "category_id", "left")
+    out = df.join(groups, "category_id", "left")
     credit = F.col("dr_cr") == "CR"
     refund = credit & F.upper(F.coalesce("narrative", F.lit(""))).startswith(fv.REFUND_PREFIX)
     return out.withColumns({

@@ -38,7 +38,7 @@ def hash_bands(df: DataFrame, row_id: str, seed, sizes: list[tuple[str, Column]]
         *by, "__d", (F.sum("__c").over(upto) - F.col("__c")).alias("before"),
         F.sum("__c").over(W.partitionBy(*by)).alias("n"))
     if quotas is not None:
-        places = places.join(F.broadcast(quotas), by)
+        places = places.join(quotas, by)
     total, cuts = F.lit(0), []
     for name, size in sizes:
         total = total + size
@@ -49,7 +49,7 @@ def hash_bands(df: DataFrame, row_id: str, seed, sizes: list[tuple[str, Column]]
             F.col("__d").alias("d"), F.col("before").alias("before"), cut.cast("long").alias("cut")))).alias(f"__cut{i}")
         for i, (_, cut) in enumerate(cuts)
     ])
-    marked = hashed.join(F.broadcast(cut_table), by)
+    marked = hashed.join(cut_table, by)
     at_edge = F.lit(False)
     last = F.col(f"__cut{len(cuts) - 1}")
     for i in range(len(cuts)):

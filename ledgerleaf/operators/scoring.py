@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerleaf import fixed_values as fv
@@ -15,6 +18,9 @@ from ledgerleaf.functions import text as tx
 from ledgerleaf.operators import features as ft
 from ledgerleaf.operators.joins import join_bounded
 
+MODEL_LIMIT_BYTES = 256 * 1024 * 1024      # of a model that each task holds
+SCORE_ROWS = 256                           # rows whose weights are laid out at a time
+
 
 @dataclass(frozen=True)
 class Head:
@@ -36,27 +42,90 @@ class Head:
         return cls(**{**d, "classes": tuple(d["classes"]), "intercepts": tuple(d["intercepts"])})
 
 
-def linear_scores(df: DataFrame, terms: DataFrame, width: int, cfg: CategorizerConfig, *,
+@dataclass
+class TermTable:
+    """A model's terms as arrays that a task holds: (position, idf, branch, one weight per class)."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    is_word: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def collect(cls, terms: DataFrame, width: int) -> "TermTable":
+        """``terms`` (term, idx, idf, w), whose size ``fits`` has to allow."""
+        rows = terms.select("term", "idf", "w").orderBy("idx").toArrow()
+        names = rows.column("term").combine_chunks()
+        words = pc.starts_with(names, tx.WORD_PREFIX).to_numpy(zero_copy_only=False)
+        flat = rows.column("w").combine_chunks().flatten()
+        return cls(names, rows.column("idf").to_numpy(), words, flat.to_numpy().reshape(-1, width))
+
+    def vectors(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, position, value) of all known terms, by row and position; values have length 1 per row and branch."""
+        row = pc.list_parent_indices(lists).to_numpy()
+        at = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=self.terms), -1).to_numpy()
+        known = at >= 0
+        n = max(len(self.terms), 1)
+        key, tf = np.unique(row[known].astype(np.int64) * n + at[known], return_counts=True)
+        row, at = key // n, key % n
+        word = self.is_word[at]
+        value = np.where(word, 1 + np.log(tf), tf) * self.idf[at]
+        part = row * 2 + word
+        return row, at, value / np.sqrt(np.bincount(part, value * value))[part] if len(part) else value
+
+
+def fits(terms: DataFrame, width: int) -> bool:
+    """Whether a task can hold the model; counts the table, which the configuration bounds."""
+    return terms.count() * (ft.TERM_BYTES + 8 * width) <= MODEL_LIMIT_BYTES
+
+
+def row_terms(text: str, cfg: CategorizerConfig) -> Column:
+    return F.element_at(F.transform(F.array(tx.tokens(F.col(text), cfg.stop_tokens)), lambda t: ft.terms_of(t, cfg)), 1)
+
+
+def linear_scores(df: DataFrame, table: Broadcast, width: int, cfg: CategorizerConfig, *, text: str = "text") -> DataFrame:
+    """Add ``scores``: the dot products of each row's TF-IDF vector with the weight columns.
+
+    A row is scored by itself: no shuffle, no id; equal or null ids do not matter.  Rows without a known term have
+    zeros.  ``table`` is a broadcast ``TermTable``.
+    """
+
+    @F.arrow_udf("array<double>")
+    def dot(lists: pa.Array) -> pa.Array:
+        model = table.value
+        row, at, value = model.vectors(lists)
+        out = np.zeros((len(lists), width))
+        for a in range(0, len(lists), SCORE_ROWS):
+            lo, hi = np.searchsorted(row, [a, a + SCORE_ROWS])
+            if lo < hi:
+                first = np.flatnonzero(np.diff(row[lo:hi], prepend=-1))
+                out[row[lo:hi][first]] = np.add.reduceat(model.weights[at[lo:hi]] * value[lo:hi, None], first, axis=0)
+        ends = np.arange(len(lists) + 1, dtype=np.int32) * width
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(out.ravel()))
+
+    return df.withColumn("scores", dot(row_terms(text, cfg)))
+
+
+def joined_scores(df: DataFrame, terms: DataFrame, width: int, cfg: CategorizerConfig, *,
                   text: str = "text", row_id: str = "row_id") -> DataFrame:
-    """(row_id, scores): dot products of a row's TF-IDF vector with each weight column.
+    """(row_id, scores) for a model that no task can hold: rows' terms meet the term table in a join.
 
-    ``terms`` holds (term, idf, w).  Scaling to length 1 is folded in: per row and
-    branch the sums of v*w and v*v are taken together and divided afterwards.
-    Rows without a known term are absent from the result.
+    ``row_id`` must be unique.  Scaling to length 1 is folded in: per row and branch the sums of v*w and v*v are taken
+    together and divided afterwards.  Rows without a known term are absent from the result.
     """
     tf = ft.term_freq(ft.keyed(df, row_id, text), cfg, text=text, row_id=row_id)
     joined = join_bounded(tf, terms.select("term", "idf", "w"), "term", max_rows=ft.max_terms(cfg),
                           row_bytes=ft.TERM_BYTES + 8 * width, spread_by=row_id)
     v = ft.weight(F.col("term"), F.col("tf"), F.col("idf"))
-    weighed = joined.select(row_id, ft.branch_of(F.col("term")).alias("branch"), v.alias("v"), "w")
-    per_branch = weighed.groupBy(row_id, "branch").agg(
-        F.sum(F.col("v") * F.col("v")).alias("sq"),
-        *[F.expr(f"sum(v * w[{k}]) AS s{k}") for k in range(width)])
-    return per_branch.groupBy(row_id).agg(
-        F.expr(f"array({', '.join(f'sum(s{k} / sqrt(sq))' for k in range(width))}) AS scores"))
+    weighed = joined.select(row_id, ft.branch_of(F.col("term")).alias("branch"), v.alias("v"), F.posexplode("w").alias("k", "w"))
+    per_branch = weighed.groupBy(row_id, "branch", "k").agg(
+        (F.sum(F.col("v") * F.col("w")) / F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("s"))
+    sums = per_branch.groupBy(row_id, "k").agg(F.sum("s").alias("s"))
+    return sums.groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("scores"))
 
 
-def with_probabilities(df: DataFrame, heads: list[Head], digits: int, *, scores: str = "scores") -> DataFrame:
+def with_probabilities(df: DataFrame, heads: list[Head], digits: int, *, scores: str = "scores",
+                       prefix: str = "fine_p_") -> DataFrame:
     """Add ``coarse_p`` and one ``fine_p_<bucket>`` array per bucket with heads.
 
     Each step is its own projection of plain columns: what is used twice is
@@ -78,7 +147,7 @@ def with_probabilities(df: DataFrame, heads: list[Head], digits: int, *, scores:
         mine = [h for h, head in enumerate(heads) if head.bucket == bucket]
         votes = sum(heads[h].vote for h in mine)
         votes_of = lambda i: " + ".join(f"e{h}_{i} / total{h} * {heads[h].vote / votes!r}D" for h in mine)
-        names.append(f"fine_p_{bucket}" if bucket else "coarse_p")
+        names.append(f"{prefix}{bucket}" if bucket else "coarse_p")
         per_class = ", ".join(f"round({votes_of(i)}, {digits})" for i in range(len(heads[mine[0]].classes)))
         arrays.append(f"array({per_class}) AS {names[-1]}")
     out = df
@@ -185,7 +254,7 @@ def fine_decide(df: DataFrame, cfg: CategorizerConfig, buckets: dict[str, Bucket
         return F.col(f"fine_p_{b}")[names.index(fv.FALLBACK_LABEL)] if fv.FALLBACK_LABEL in names else F.lit(None)
 
     def threshold(b):
-        return _lookup({**cfg.fine_floors, **buckets[b].thresholds}, F.col("fine_class"), fv.DEFAULT_THRESHOLD)
+        return _lookup({**cfg.effective_fine_floors, **buckets[b].thresholds}, F.col("fine_class"), fv.DEFAULT_THRESHOLD)
 
     chosen = chosen.withColumn("fine_threshold", per_bucket(threshold)) \
         .withColumn("fallback_p", per_bucket(fallback_p).cast("double"))
@@ -204,25 +273,33 @@ def fine_decide(df: DataFrame, cfg: CategorizerConfig, buckets: dict[str, Bucket
     return fence(out, "fine_class", "label_raw", "label", "rule", "fitted", "confidence", "needs_review")
 
 
-def top_contributions(df: DataFrame, terms: DataFrame, width: int, cfg: CategorizerConfig, *, slot: str = "slot",
-                      text: str = "text", row_id: str = "row_id") -> DataFrame:
-    """(row_id, explanation, contributions): highest value * weight terms of a row.
+def top_contributions(table: Broadcast, cfg: CategorizerConfig, terms: Column, slot: Column) -> Column:
+    """Array of (term, contribution): the terms of a row that add most to the class at weight position ``slot``.
 
-    ``slot`` is the weight position of the class to explain.  Only the rows
-    given are expanded, so filter to the rows under review first.
+    Equal contributions (to nine digits) keep the order of the vocabulary.  Null where ``slot`` is null; such
+    rows are not expanded into terms.
     """
-    tf = ft.term_freq(ft.keyed(df, row_id, slot, text), cfg, text=text, row_id=row_id, carry=(slot,))
-    joined = join_bounded(tf, terms.select("term", "idx", "idf", "w"), "term", max_rows=ft.max_terms(cfg),
-                          row_bytes=ft.TERM_BYTES + 8 * width, spread_by=row_id)
-    v = ft.weight(F.col("term"), F.col("tf"), F.col("idf"))
-    weighed = joined.select(row_id, "term", "idx", v.alias("v"), F.col("w")[F.col(slot)].alias("coef"))
-    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(W.partitionBy(row_id, ft.branch_of(F.col("term")))))
-    # nine digits: equal contributions stay equal whatever the summation order
-    parts = weighed.withColumn("contribution", F.round(F.col("v") / norm * F.col("coef"), 9))
-    order = W.partitionBy(row_id).orderBy(F.desc("contribution"), F.asc("idx"))
-    ranked = parts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= cfg.top_features)
-    shown = ranked.groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.struct("place", "term", "contribution"))).alias("contributions"))
-    text_form = F.array_join(F.transform("contributions", lambda c: F.concat(
-        c["term"], F.lit(":"), tx.fixed_decimals(c["contribution"], 2, 9))), "; ")
-    return shown.withColumn("explanation", text_form)
+    k = cfg.top_features
+
+    @F.arrow_udf("array<struct<term:string,contribution:double>>")
+    def top(lists: pa.Array, slots: pa.Array) -> pa.Array:
+        model = table.value
+        row, at, value = model.vectors(lists)
+        want = pc.fill_null(slots, 0).to_numpy()
+        amount = np.round(value * model.weights[at, want[row]], 9) if len(row) else value
+        order = np.lexsort((at, -amount, row))
+        row, at, amount = row[order], at[order], amount[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < k
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row[keep], minlength=len(lists)))]).astype(np.int32)
+        rows = pa.StructArray.from_arrays([model.terms.take(pa.array(at[keep])), pa.array(amount[keep])], ["term", "contribution"])
+        return pa.ListArray.from_arrays(pa.array(ends), rows)
+
+    found = top(F.when(slot.isNotNull(), terms), slot.cast("int"))
+    return F.when(slot.isNotNull(), found)
+
+
+def explanation(contributions: Column) -> Column:
+    """``term:amount`` parts joined by "; "; null where nothing contributes."""
+    parts = F.transform(contributions, lambda c: F.concat(c["term"], F.lit(":"), tx.fixed_decimals(c["contribution"], 2, 9)))
+    return F.when(F.size(contributions) > 0, F.array_join(parts, "; "))

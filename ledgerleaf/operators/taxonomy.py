@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerleaf.plans.storage import new_path
+
 DEFAULT_FILE = Path(__file__).resolve().parent.parent / "data" / "taxonomy.json"
 
 _S, _B = T.StringType(), T.BooleanType()
@@ -23,9 +25,9 @@ TAXONOMY_SCHEMA = T.StructType([
     ]])
 
 
-def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
-    """Taxonomy from a JSON array or JSON lines file; a few dozen rows."""
-    return spark.read.schema(TAXONOMY_SCHEMA).option("multiLine", True).json(path)
+def read_taxonomy(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Taxonomy from JSON lines, or with ``multi_line`` from a JSON array; a few dozen rows."""
+    return spark.read.schema(TAXONOMY_SCHEMA).option("multiLine", multi_line).json(path)
 
 
 def default_taxonomy(spark: SparkSession) -> DataFrame:
@@ -34,12 +36,19 @@ def default_taxonomy(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in TAXONOMY_SCHEMA.names) for r in rows], TAXONOMY_SCHEMA)
 
 
+def stored_default(spark: SparkSession) -> str:
+    """Path of a copy of the shipped taxonomy as JSON lines where every executor can read it."""
+    path = new_path(spark, "taxonomy")
+    default_taxonomy(spark).coalesce(1).write.json(path)
+    return path
+
+
 def taxonomy_enrich(df: DataFrame, label: str, taxonomy: DataFrame) -> DataFrame:
     """Add display name, group, budget bucket, direction and tax flag of the label."""
     side = taxonomy.select(
         F.col("id").alias(label), F.col("display_name").alias("label_name"), F.col("group").alias("label_group"),
         "budget_bucket", "default_direction", "tax_relevant")
-    return df.join(F.broadcast(side), label, "left")
+    return df.join(side, label, "left")
 
 
 def taxonomy_rollup(df: DataFrame, label: str, taxonomy: DataFrame, amount: str = "amount") -> DataFrame:
@@ -51,6 +60,6 @@ def taxonomy_rollup(df: DataFrame, label: str, taxonomy: DataFrame, amount: str
         names, F.col("child.id") == F.col("own")).select(
         F.col("child.id").alias(label), F.coalesce("pid", "id").alias("top_label"),
         F.coalesce("pname", "own_name").alias("top_name"))
-    return df.join(F.broadcast(top), label, "left").groupBy(
+    return df.join(top, label, "left").groupBy(
         F.coalesce("top_label", F.col(label)).alias("top_label"), "top_name").agg(
         F.count(F.lit(1)).alias("total_rows"), F.sum(amount).alias("amount"))

@@ -87,6 +87,6 @@ def apply_thresholds(df: DataFrame, cls: str, p: str, thresholds: DataFrame,
                      default: float = fv.DEFAULT_THRESHOLD) -> DataFrame:
     """Add the class threshold (default where missing) and whether ``p`` reaches it."""
     side = thresholds.select(F.col("cls").alias(cls), F.col("threshold").alias("__thr"))
-    return df.join(F.broadcast(side), cls, "left").withColumn(
+    return df.join(side, cls, "left").withColumn(
         "threshold", F.coalesce("__thr", F.lit(default))).drop("__thr").withColumn(
         "reached", F.col(p) >= F.col("threshold"))

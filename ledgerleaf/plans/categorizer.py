@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,45 +50,63 @@ class CategorizerModel:
     def fitted_buckets(self) -> list[str]:
         return [b for b, spec in self.buckets.items() if spec.kind == "fitted"]
 
-    def probabilities(self, df: DataFrame, *, text: str = "text", row_id: str = "row_id") -> DataFrame:
-        """Add ``coarse_p`` and one ``fine_p_<bucket>`` array per fitted bucket."""
-        scored = sc.linear_scores(df, self.terms, self.width, self.cfg, text=text, row_id=row_id)
-        zeros = F.array(*[F.lit(0.0)] * self.width)
-        return sc.with_probabilities(df.join(scored, row_id, "left"), self.heads, self.cfg.decision_digits
-                                     ).drop("scores")
+    @cached_property
+    def table(self) -> Broadcast | None:
+        """The terms as arrays for every task; None if they are too large for that."""
+        if not sc.fits(self.terms, self.width):
+            return None
+        return self.terms.sparkSession.sparkContext.broadcast(sc.TermTable.collect(self.terms, self.width))
+
+    def probabilities(self, df: DataFrame, *, text: str = "text") -> DataFrame:
+        """Add ``coarse_p`` and one ``fine_p_<bucket>`` array per fitted bucket.
+
+        Rows are scored one by one, without a shuffle.  Only a model beyond ``MODEL_LIMIT_BYTES`` takes a join, for
+        which the rows get ids of their own.
+        """
+        if self.table is not None:
+            scored = sc.linear_scores(df, self.table, self.width, self.cfg, text=text)
+        else:
+            own = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+            scores = sc.joined_scores(own, self.terms, self.width, self.cfg, text=text, row_id="__row")
+            scored = own.join(scores, "__row", "left").drop("__row")
+        return sc.with_probabilities(scored, self.heads, self.cfg.decision_digits).drop("scores")
 
     def decide(self, df: DataFrame, *, text: str = "text", low_conf: float | None = None) -> DataFrame:
         """Route and label rows that carry the probability columns."""
         routed = sc.route(df, self.cfg, self.coarse_classes, self.coarse_thresholds, text=text)
         return sc.fine_decide(routed, self.cfg, self.buckets, text=text, low_conf=low_conf)
 
-    def transform(self, df: DataFrame, *, text: str = "text", row_id: str = "row_id",
-                  low_conf: float | None = None, explain: bool = False, details: bool = False) -> DataFrame:
+    def transform(self, df: DataFrame, *, text: str = "text", low_conf: float | None = None,
+                  explain: bool = False, details: bool = False) -> DataFrame:
         """Input columns plus label, confidence, coarse label and confidence, review flag.
 
-        ``row_id`` must be unique.  Null text scores like empty text.
+        Null text scores like empty text.
         """
         if text not in df.columns:
             raise ValueError(f"text column {text!r} not found; available: {df.columns}")
         if low_conf is not None and not 0.0 <= low_conf <= 1.0:
             raise ValueError(f"low_conf must lie in [0, 1], got {low_conf}")
-        out = self.decide(self.probabilities(df, text=text, row_id=row_id), text=text, low_conf=low_conf)
+        out = self.decide(self.probabilities(df, text=text), text=text, low_conf=low_conf)
         extra = ("label_raw", "rule", "fine_class", "fitted") if details else ()
         if explain:
-            out = out.join(self.explain(out, text=text, row_id=row_id).select(row_id, "explanation"), row_id, "left")
+            out = self.explain(out, text=text)
             extra = (*extra, "explanation")
         return out.select(*df.columns, *OUTPUT_COLUMNS, *extra)
 
-    def explain(self, decided: DataFrame, *, text: str = "text", row_id: str = "row_id") -> DataFrame:
-        """Top contributions of rows under review, for the class the model put first."""
+    def explain(self, decided: DataFrame, *, text: str = "text") -> DataFrame:
+        """Add ``explanation`` and ``contributions`` of rows under review, for the class the model put first; null elsewhere."""
         slots = [F.lit(x) for h in self.heads if h.bucket and h.explains
                  for i, c in enumerate(h.classes) for x in (f"{h.bucket}/{c}", h.offset + i)]
         if not slots:
             raise ValueError("the model has no head that explains fine classes")
+        if self.table is None:
+            raise ValueError("the model is too large to explain rows")
         key = F.concat_ws("/", "coarse_label", "fine_class")
-        rows = decided.where(F.col("needs_review") & F.col("fitted")).select(
-            row_id, text, F.element_at(F.create_map(*slots), key).alias("slot"))
-        return sc.top_contributions(rows, self.terms, self.width, self.cfg, text=text, row_id=row_id)
+        slot = F.when(F.col("needs_review") & F.col("fitted"), F.try_element_at(F.create_map(*slots), key))
+        rows = sc.fence(decided.withColumn("__slot", slot), "__slot")
+        found = sc.top_contributions(self.table, self.cfg, sc.row_terms(text, self.cfg), F.col("__slot"))
+        return rows.withColumn("contributions", found).withColumn(
+            "explanation", sc.explanation(F.col("contributions"))).drop("__slot")
 
     # ---- persistence ------------------------------------------------------------
 
@@ -125,7 +145,7 @@ class Categorizer:
             row_id: str = "row_id") -> CategorizerModel:
         cfg = self.cfg
         rows = df.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.col(label).alias("label")) \
-            .withColumn("coarse", lb.coarse_of(F.col("label"), cfg.hierarchy))
+            .where(F.col("label").isNotNull()).withColumn("coarse", lb.coarse_of(F.col("label"), cfg.hierarchy))
         # the narrow table is read by every pass below; the source may be wide or costly to derive
         path = new_path(df.sparkSession, "training")
         rows.write.parquet(path)
@@ -143,7 +163,7 @@ class Categorizer:
         terms, heads = self._fit_heads(train, vocab, values, layout)
         buckets = {
             b: sc.Bucket("missing") if not kids else
-            sc.Bucket("solo", tuple(kids), {kids[0]: cfg.fine_floors.get(kids[0], fv.DEFAULT_THRESHOLD)})
+            sc.Bucket("solo", tuple(kids), {kids[0]: cfg.effective_fine_floors.get(kids[0], fv.DEFAULT_THRESHOLD)})
             if len(kids) == 1 else sc.Bucket("fitted", tuple(kids))
             for b, kids in layout.items()
         }
@@ -175,9 +195,11 @@ class Categorizer:
             vectors = ln.vector_table(values, train, vocab.count(), columns=("label", "coarse"))
             jobs = []
             if cfg.coarse_trainer != "nb":
-                fit = ln.fit_softmax if cfg.coarse_trainer == "lr" else ln.fit_one_vs_rest
-                how = "softmax" if cfg.coarse_trainer == "lr" else "ovr"
-                jobs.append(("", coarse, how, 1.0, lambda: fit(vectors, "coarse", coarse, cfg)))
+                if cfg.coarse_trainer == "lr":
+                    jobs.append(("", coarse, "softmax", 1.0, lambda: ln.fit_softmax(
+                        vectors, "coarse", coarse, cfg, cfg.coarse_tol)))
+                else:
+                    jobs.append(("", coarse, "ovr", 1.0, lambda: ln.fit_one_vs_rest(vectors, "coarse", coarse, cfg)))
             if ensemble:
                 jobs += [(b, kids, "softmax", linear_vote, lambda b=b, kids=kids: ln.fit_softmax(
                     vectors.where(F.col("coarse") == b), "label", kids, cfg)) for b, kids in fine.items()]
@@ -214,14 +236,12 @@ class Categorizer:
                                           cfg.fine_cal_size, cfg.fine_cal_min, cfg.fine_cal_frac, cfg.fine_seed
                                           ).withColumn("level", F.lit("fine"))
         sample = coarse.unionByName(fine) if fitted else coarse
-        # a row may be in both samples, so the level is part of its key
-        keyed = sample.withColumn("sample_id", F.concat_ws("/", "level", F.col("row_id").cast("string")))
-        scored = model.probabilities(keyed, row_id="sample_id")
+        scored = model.probabilities(sample)
         found = th.threshold_search(calibration_pairs(scored, model), ["level", "bucket", "cls"],
                                     rule=cfg.threshold_rule)
         coarse_thr, fine_thr = {}, {}
         for r in found.collect():               # one row per class
-            floors = cfg.coarse_floors if r["level"] == "coarse" else cfg.fine_floors
+            floors = cfg.coarse_floors if r["level"] == "coarse" else cfg.effective_fine_floors
             value = max(r["threshold"], floors.get(r["cls"], r["threshold"]))
             if r["level"] == "coarse":
                 coarse_thr[r["cls"]] = value

@@ -30,11 +30,24 @@ def require_csv(path: str) -> str:
     return path
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Delimited file with header; quoted fields may hold line breaks."""
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("nullValue", "")
-            .option("emptyValue", "").csv(path))
+def csv_options(multi_line: bool) -> dict[str, str]:
+    """What batch and stream readers share.
+
+    Without ``multi_line`` a record is a line, and large files are split over tasks.  With it quoted cells may hold line
+    breaks, and a file is one task: then write many files.
+    """
+    return {"header": "true", "multiLine": str(multi_line).lower(), "escape": '"', "ignoreLeadingWhiteSpace": "false",
+            "nullValue": "", "emptyValue": ""}
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """Delimited files with header."""
+    return spark.read.schema(schema).options(**csv_options(multi_line)).csv(path)
+
+
+def read_csv_stream(spark: SparkSession, folder: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """The same for files that arrive in a folder."""
+    return spark.readStream.schema(schema).options(**csv_options(multi_line)).csv(folder)
 
 
 def typed_transactions(raw: DataFrame) -> DataFrame:

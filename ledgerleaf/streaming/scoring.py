@@ -12,26 +12,18 @@ from ledgerleaf.sources.readers import require_columns
 from ledgerleaf.sources.writers import scored_output
 
 
-def csv_stream(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    return (spark.readStream.schema(schema).option("header", True).option("escape", '"')
-            .option("nullValue", "").option("emptyValue", "").csv(folder))
-
-
 def score_stream(stream: DataFrame, model: CategorizerModel, output: str, checkpoint: str, *, text: str,
-                 row_id: str, low_conf: float | None = None) -> StreamingQuery:
-    """Score each micro-batch and write it to ``output/batch_id=<n>``.
+                 low_conf: float | None = None) -> StreamingQuery:
+    """Score arriving rows and append them to ``output``.
 
-    A batch that is replayed after a failure overwrites its own folder, so rows
-    appear exactly once.
+    Scoring is a projection, so Spark's own file sink will do: its log names the files of every
+    committed batch, and a batch that is replayed after a failure does not appear twice, neither here nor to readers
+    of ``output``.
     """
-    require_columns(stream, text, row_id)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        scored = model.transform(batch, text=text, row_id=row_id, low_conf=low_conf)
-        scored_output(scored, batch.columns).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
-
-    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    require_columns(stream, text)
+    scored = scored_output(model.transform(stream, text=text, low_conf=low_conf), stream.columns)
+    return (scored.writeStream.format("parquet").outputMode("append").option("path", output)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
 def running_totals(spark: SparkSession, scored_folder: str, schema: T.StructType, output: str,

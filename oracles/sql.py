@@ -8,11 +8,11 @@ instead of arrays.
 from __future__ import annotations
 
 import json
+import struct
 import re
 
 from ledgerleaf import fixed_values as fv
 from ledgerleaf.operators.taxonomy import DEFAULT_FILE
-from ledgerleaf.operators.thresholds import grid
 from ledgerleaf.sources import statements as st
 from oracles.fixture_sql import TX, lit, sql_list
 
@@ -102,6 +102,12 @@ HEADS = values([("''", lit(next(c for c in COARSE if lab in FITTED.get(c, [SOLO.
                + [(lit(b), lit(lab), lit(lab)) for b, kids in FITTED.items() for lab in kids])
 
 
+def grid(rule: str) -> list[float]:
+    """The 101 cut points from 0.05 to 0.95; the newer rule keeps single precision."""
+    points = [*(i * ((0.95 - 0.05) / 100) + 0.05 for i in range(100)), 0.95]
+    return [struct.unpack("f", struct.pack("f", x))[0] for x in points] if rule == "v7" else points
+
+
 def grid_sql(rule: str) -> str:
     return values([(str(i + 1), f"{x!r}e0" if "e" not in repr(x) else repr(x)) for i, x in enumerate(grid(rule))])
 
@@ -158,6 +164,14 @@ def tfidf_of(tf: str, vocab: str) -> str:
             FROM {tf} JOIN {vocab} USING (term))"""
 
 
+def every_branch(summary: str, rows: str) -> str:
+    """Also rows without a known term of a branch, as a feature matrix has them."""
+    return f"""SELECT row_id, branch, coalesce(n_terms, 0) AS n_terms, coalesce(l1, 0) AS l1, coalesce(l2, 0) AS l2, coalesce(peak, 0) AS peak
+      FROM (SELECT row_id, branch FROM {rows} CROSS JOIN (VALUES ('w'), ('c')) b(branch)) LEFT JOIN ({summary}) s USING (row_id, branch)"""
+
+
+TRAINED = """SELECT true_label, count(*) AS total_rows, count(*) AS proper_rows, TRUE AS accurate FROM lines GROUP BY true_label"""
+
 P6 = ", ".join(f"max(CASE WHEN cls = {lit(c)} THEN p END) AS p_{c}" for c in COARSE)
 RAISED = ", ".join(f"p_{c} + CASE WHEN {coarse_hit(c, chr(40) + 'coalesce(text, ' + chr(39) * 2 + ')' + chr(41))} THEN 0.08e0 ELSE 0.0e0 END AS r_{c}"
                    if c in fv.LEXICON_COARSE.values() else f"p_{c} + 0.0e0 AS r_{c}" for c in COARSE)
@@ -185,14 +199,14 @@ CTES: dict[str, tuple[list[str], str]] = {
     "tf_lines": (["toks_lines"], tf_of("lines")),
     "tf_docs": (["toks_docs"], tf_of("docs")),
     "stats_docs": (["tf_docs"], "SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf_docs GROUP BY term"),
-    "vocab_docs": (["stats_docs"], vocab_of("stats_docs", 5000, 5000)),
+    "vocab_docs": (["stats_docs"], vocab_of("stats_docs", 150000, 100000)),
     "idf_docs": (["vocab_docs", "docs"], idf_of("vocab_docs", "docs")),
     "stats_lines": (["tf_lines"], "SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf_lines GROUP BY term"),
-    "vocab_lines": (["stats_lines"], vocab_of("stats_lines", 20000, 20000)),
+    "vocab_lines": (["stats_lines"], vocab_of("stats_lines", 150000, 100000)),
     "idf_lines": (["vocab_lines", "lines"], idf_of("vocab_lines", "lines")),
     "stats_train": (["tf_lines", "train"], "SELECT term, count(*) AS df, sum(tf)::BIGINT AS total FROM tf_lines "
                                            "WHERE row_id IN (SELECT row_id FROM train) GROUP BY term"),
-    "vocab_train": (["stats_train"], vocab_of("stats_train", 20000, 20000)),
+    "vocab_train": (["stats_train"], vocab_of("stats_train", 150000, 100000)),
     "idf_train": (["vocab_train", "train"], idf_of("vocab_train", "train")),
     "vals": (["tf_lines", "idf_train"], tfidf_of("tf_lines", "idf_train")),
     # complement naive Bayes, long form
@@ -279,7 +293,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT *, posted_at - value_date AS gap, count(*) OVER (PARTITION BY transaction_id) AS copies,
           coalesce(CASE category_id {' '.join(f"WHEN {lit(k)} THEN {v[0]}" for k, v in fv.AMOUNTS.items())} END, 150) AS low,
           coalesce(CASE category_id {' '.join(f"WHEN {lit(k)} THEN {v[1]}" for k, v in fv.AMOUNTS.items())} END, 5000) AS high,
-          NOT list_contains(CASE category_id {' '.join(f"WHEN {lit(k)} THEN {sql_list(v.split())}" for k, v in fv.CHANNELS.items())}
+          NOT list_contains(CASE category_id {' '.join(f"WHEN {lit(k)} THEN {sql_list(v)}" for k, v in fv.CHANNELS.items())}
             ELSE {sql_list(fv.CHANNELS_DEFAULT)} END, channel) AS odd_channel,
           (SELECT display_name FROM tax WHERE id = category_id) AS expected_name, (SELECT grp FROM tax WHERE id = category_id) AS label_group
         FROM tx"""),
@@ -352,6 +366,14 @@ ORACLES: dict[str, tuple[list[str], str]] = {
     "fine_to_coarse": (["tx"], "SELECT row_id, category_id, CASE " + " ".join(
         f"WHEN category_id IN ({', '.join(lit(k) for k in kids)}) THEN {lit(c)}" for c, kids in fv.HIERARCHY.items()) + " ELSE 'OTHER_MISC' END AS coarse FROM tx"),
     "bucket_rows": (["tx"], "SELECT row_id, category_id FROM tx WHERE category_id IN ('TRAVEL', 'FUEL', 'MOBILITY')"),
+    "preds_sink": (["scored", "explained"], """SELECT row_id, true_label AS label, label AS pred, confidence AS pred_proba, coalesce(explanation, '') AS explain
+        FROM scored LEFT JOIN explained USING (row_id) WHERE split = 'test'"""),
+    "confusion_sink": (["scored"], "SELECT true_label AS truth, label AS pred, count(*) AS n FROM scored GROUP BY ALL"),
+    "metrics_sink": (["scored", "per_class"], """SELECT round(avg(f1), 3) AS macro_f1, round(sum(tp) / sum(support), 3) AS accuracy,
+        (SELECT count(*) FROM scored WHERE split = 'train') AS n_train, sum(support)::BIGINT AS n_test, TRUE AS timed FROM per_class WHERE split = 'test'"""),
+    "texts_scored": (["tx"], "SELECT DISTINCT trim(merchant_name) AS text, TRUE AS labelled FROM tx WHERE trim(coalesce(merchant_name, '')) <> ''"),
+    "taxonomy_dim": (["tx", "tax"], """SELECT id, display_name, grp AS label_group, parent_id, budget_bucket, tax_relevant, coalesce(n, 0) AS n_lines
+        FROM tax LEFT JOIN (SELECT category_id AS id, count(*) AS n FROM tx GROUP BY 1) USING (id)"""),
     "needs_review": (["scored"], "SELECT row_id, fitted, confidence, coarse_confidence, needs_review FROM scored"),
     "normalize_text": (["toks_docs"], "SELECT row_id, array_to_string(toks, ' ') AS normalized FROM toks_docs"),
     "stop_tokens": (["tx"], f"SELECT token, CASE WHEN token IN ({NOISE_SQL}) THEN 'noise' WHEN token IN ({CITY_SQL}) THEN 'city' ELSE 'kept' END AS kind, "
@@ -385,15 +407,20 @@ ORACLES: dict[str, tuple[list[str], str]] = {
           ELSE ch END), ''), '\\s+|\\S+'), lambda x: CASE WHEN regexp_full_match(x, '\\s') THEN x || ' ' ELSE x END), '') AS toggled
         FROM (SELECT *, CASE WHEN {draw('row_id', 'blank')} < 0.20 THEN replace(a, ' ', '  ') ELSE a END AS b FROM (
           SELECT *, CASE WHEN {draw('row_id', 'case')} < 0.25 THEN upper(narrative) WHEN {draw('row_id', 'case')} < 0.50 THEN lower(narrative)
-            ELSE narrative END AS a FROM tx WHERE narrative IS NOT NULL))"""),
+            ELSE narrative END AS a FROM tx))"""),
     "term_freq": (["tf_lines"], "SELECT * FROM tf_lines WHERE starts_with(term, 'w__')"),
     "doc_freq": (["stats_docs"], "SELECT term, df, total FROM stats_docs"),
     "vocabulary": (["vocab_docs"], "SELECT term, df, total, idx FROM vocab_docs"),
     "idf": (["idf_docs"], "SELECT term, df, round(idf, 6) AS idf FROM idf_docs"),
     "tfidf_word": (["tf_lines", "idf_lines"], f"SELECT row_id, term, round(value, 6) AS value FROM ({tfidf_of('tf_lines', 'idf_lines')}) WHERE starts_with(term, 'w__')"),
     "tfidf_char": (["tf_lines", "idf_lines"], f"SELECT row_id, term, round(value, 6) AS value FROM ({tfidf_of('tf_lines', 'idf_lines')}) WHERE starts_with(term, 'c__')"),
-    "tfidf_union": (["tf_docs", "idf_docs"], branch_summary(tfidf_of("tf_docs", "idf_docs"))),
-    "tfidf_transform": (["vals"], branch_summary("SELECT * FROM vals")),
+    "tfidf_union": (["tf_docs", "idf_docs", "docs"], every_branch(branch_summary(tfidf_of("tf_docs", "idf_docs")), "docs")),
+    "tfidf_transform": (["vals", "lines"], every_branch(branch_summary("SELECT * FROM vals"), "lines")),
+    # trained models: what must hold for every row whatever the last digits of the optimiser
+    "coarse_lr": (["lines"], TRAINED),
+    "coarse_ovr": (["lines"], TRAINED),
+    "score_full": (["lines"], TRAINED),
+    "fine_ensemble": (["proba"], "SELECT row_id, head AS bucket, cls, p AS nb_p, TRUE AS mixed FROM proba WHERE head <> ''"),
     "label_union": (["tx"], "SELECT DISTINCT category_id AS label FROM tx"),
     "unmapped_labels": (["tx"], f"SELECT DISTINCT category_id AS label FROM tx WHERE category_id NOT IN ({', '.join(lit(f) for k in fv.HIERARCHY.values() for f in k)})"),
     "augment_hierarchy": (["tx"], "SELECT coarse, fine, 'base' AS origin FROM (" + values([(lit(c), lit(f)) for c, k in fv.HIERARCHY.items() for f in k]) +
@@ -418,8 +445,8 @@ ORACLES: dict[str, tuple[list[str], str]] = {
             FROM (SELECT label, {_WEIGHTS}::DECIMAL(9, 4) AS w FROM (SELECT DISTINCT category_id AS label FROM tx)))))
         ON label = category_id WHERE rn <= quota"""),
     "nb_fit": (["nb"], "SELECT term, cls, round(w, 6) AS weight FROM nb WHERE head = ''"),
-    "linear_scores": (["scores", "vals"], "SELECT row_id, " + ", ".join(f"round(max(CASE WHEN cls = {lit(c)} THEN score END), 6) AS score_{c}" for c in COARSE) +
-                      " FROM scores WHERE head = '' AND row_id IN (SELECT row_id FROM vals) GROUP BY row_id"),
+    "linear_scores": (["scores"], "SELECT row_id, " + ", ".join(f"round(max(CASE WHEN cls = {lit(c)} THEN score END), 6) AS score_{c}" for c in COARSE) +
+                      " FROM scores WHERE head = '' GROUP BY row_id"),
     "nb_proba": (["coarse_p"], "SELECT * FROM coarse_p"),
     "argmax_class": (["coarse_p"], f"SELECT row_id, {TOP_C} AS cls FROM coarse_p"),
     "coarse_boost": (["boosted"], "SELECT * FROM boosted"),

@@ -162,7 +162,7 @@ def test_report_with_unpredicted_label(spark):
 
 
 def test_taxonomy_file(spark):
-    read, shipped = read_taxonomy(spark, str(DEFAULT_FILE)), default_taxonomy(spark)
+    read, shipped = read_taxonomy(spark, str(DEFAULT_FILE), multi_line=True), default_taxonomy(spark)
     assert read.schema == shipped.schema
     key = lambda r: r["id"]
     assert [tuple(r)[:3] for r in sorted(read.collect(), key=key)] == [tuple(r)[:3] for r in sorted(shipped.collect(), key=key)]
