@@ -266,6 +266,21 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("rows", [2, 40, 300])
+def test_rows_without_a_near_partner_go(monkeypatch, rows):
+    import pyarrow as pa
+    rng = np.random.default_rng(rows)
+    monkeypatch.setattr(line_dedup, "NEAR_ROWS", 64)
+    keys = np.sort(rng.integers(0, 5, rows))
+    sims = rng.integers(-2**63, 2**63, 6)[rng.integers(0, 6, rows)] ^ (np.int64(1) << rng.integers(0, 63, rows))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.arange(rows)), pa.array(sims)], ["key", "id", "sim"])
+    kept = {i for part in line_dedup._with_partner(iter([batch.slice(0, rows // 3), batch.slice(rows // 3)])) for i in part.column("id").to_pylist()}
+    near = lambda i, j: int(np.bitwise_count((sims[i] ^ sims[j]).view(np.uint64))) <= 3
+    for i in range(rows):
+        own = np.flatnonzero(keys == keys[i])
+        assert (i in kept) == (len(own) > 64 or any(i != j and near(i, j) for j in own))
+
+
 def test_spotsigs(spark, docs, rows, empty):
     text = "The quick brown fox of the dark wood and a lazy dog is in the old green house"
     got = docs_of(spark, [(1, text, "en", "a"), (2, text.upper(), "en", "a"), (3, "zzz", "en", "a"), (4, "", "en", "a")]) \
