@@ -50,7 +50,7 @@ def label(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def link_lists(lists: DataFrame, able: Column, verify, first: list[str]) -> DataFrame | None:
+def link_lists(lists: DataFrame, able: Column, verify, first: list[str], pivots: int = 0) -> DataFrame | None:
     """Components of the rows that meet in ``lists``; None if nothing is linked.
 
     ``lists`` has (key, id, component-free columns).  ``able`` is a condition on two rows a and b of a list,
@@ -61,16 +61,26 @@ def link_lists(lists: DataFrame, able: Column, verify, first: list[str]) -> Data
     large groups of copies at a cost that is linear in the lists.  Then every row that is not in the head's component
     meets all rows of other components, so that no link between two components is missed; rows of one component are
     never paired.
+
+    With ``pivots``, up to so many rounds choose the head anew, by hash; it meets every row of the other components in its
+    list, without a join, and one pair for each of them is verified.  Groups whose members resemble their
+    neighbours more than any one head then come together before the last round.
     """
     links: DataFrame | None = None
     found: DataFrame | None = None
     columns = [c for c in lists.columns if c not in ("key", "id")]
     order, whole = F.struct(*first, "id"), W.partitionBy("key")
     left: Stored | None = None
-    stars = STAR_ROUNDS
+    stars, turn = pivots or STAR_ROUNDS, 0
     while True:
         # a list whose rows are in one component stays so: the next round reads only the others
         rows = label(lists if left is None else left.df.select("key", "id", *columns), found)
+        if pivots and turn:  # in a list of two rows the head has met all
+            order = F.struct(F.xxhash64("id", F.lit(turn)), "id")
+            rows = rows.withColumn("rows", F.count(F.lit(1)).over(whole)).where("rows > 2").drop("rows")
+        if pivots:
+            rows = rows.withColumn("pivot", F.min_by(F.struct("id", "component", *columns), order).over(whole))
+        turn += 1
         rows = rows.withColumns({"head": F.min_by("component", order).over(whole), "low": F.min("component").over(whole),
                                  "high": F.max("component").over(whole)}).where("low != high").drop("low", "high")
         before, left = left, Stored(rows, "lists")
@@ -80,14 +90,20 @@ def link_lists(lists: DataFrame, able: Column, verify, first: list[str]) -> Data
         if rows.isEmpty():
             break
         last = stars == 0
-        if not last:  # one row a component and list
-            packed = F.min(F.struct(*first, "id", *(c for c in columns if c not in first))).alias("x")
-            rows = rows.groupBy("key", "component", "head").agg(packed).select("key", "component", "head", "x.*")
-        a = rows.where("component != head").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "component", *columns)))
-        b = rows if last else rows.where("component = head")
-        b = b.select("key", "head", *(F.col(c).alias(f"b_{c}") for c in ("id", "component", *columns)))
-        once = (F.col("b_component") == F.col("head")) | (F.col("a_id") < F.col("b_id"))
-        met = a.join(b, (a["key"] == b["key"]) & (F.col("a_component") != F.col("b_component")) & once & able)
+        if pivots and not last:
+            met = rows.where("component != head").select(
+                "component", *(F.col(c).alias(f"a_{c}") for c in ("id", *columns)),
+                *(F.col("pivot")[c].alias(f"b_{c}") for c in ("id", *columns))).where(able)
+            met = met.groupBy("b_id", "component").agg(F.min("a_id").alias("a_id"))
+        else:
+            if not last:  # one row a component and list
+                packed = F.min(F.struct(*first, "id", *(c for c in columns if c not in first))).alias("x")
+                rows = rows.groupBy("key", "component", "head").agg(packed).select("key", "component", "head", "x.*")
+            a = rows.where("component != head").select("key", *(F.col(c).alias(f"a_{c}") for c in ("id", "component", *columns)))
+            b = rows if last else rows.where("component = head")
+            b = b.select("key", "head", *(F.col(c).alias(f"b_{c}") for c in ("id", "component", *columns)))
+            once = (F.col("b_component") == F.col("head")) | (F.col("a_id") < F.col("b_id"))
+            met = a.join(b, (a["key"] == b["key"]) & (F.col("a_component") != F.col("b_component")) & once & able)
         pairs = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b")).distinct()
         new = materialise(verify(materialise(pairs)))
         none = new.isEmpty()

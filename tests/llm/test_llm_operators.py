@@ -403,3 +403,26 @@ def test_warc(spark, tmp_path):
     assert len(left) == 1 and len(reader.tests) == 1 and len(reader.partitions()) >= 1
     warc.write_warc(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_edits_within_a_bound():
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+        return row[-1]
+
+    rng = random.Random(3)
+    texts = ["", "a", "é\U0001f600b"] + ["".join(rng.choices("abcé ", k=rng.randrange(1, 90))) for _ in range(40)]
+    for a in texts:
+        for b in [*rng.sample(texts, 8), a[:10] + "xy" + a[12:], "q" + a]:
+            d = edits(a, b)
+            assert all(line_dedup.within(a, b, k) == (d <= k) for k in (0, d - 1, d, d + 1) if k >= 0)
+
+
+def test_normal_forms_of_lines():
+    text = "One,  TWO_2\n\n 12.5 % É-é\r\n__"
+    assert line_dedup.normal_lines(text) == ["one two 0", "", "0 0 é é", ""]
+    assert [line_dedup.normal_lines(x)[0] for x in text.split("\n")] == line_dedup.normal_lines(text)
