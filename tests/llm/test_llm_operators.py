@@ -426,3 +426,43 @@ def test_normal_forms_of_lines():
     text = "One,  TWO_2\n\n 12.5 % É-é\r\n__"
     assert line_dedup.normal_lines(text) == ["one two 0", "", "0 0 é é", ""]
     assert [line_dedup.normal_lines(x)[0] for x in text.split("\n")] == line_dedup.normal_lines(text)
+
+
+def edited_lines(seed, words_of=((1, 2), (6, 10), (11, 20), (21, 40), (41, 60)), each=25):
+    """Lines of each length class, each with a copy that has words replaced and one that has letters replaced."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("etaoinshrdlucmfwyp", weights=range(18, 0, -1), k=rng.randint(3, 9)))
+    vocabulary = [word() for _ in range(3_000)]
+    out = []
+    for low, high in words_of:
+        for _ in range(each):
+            line = " ".join(rng.choices(vocabulary, k=rng.randint(low, high)))
+            most = int(0.15 * len(line))
+            letters = list(line)
+            for i in rng.sample(range(len(line)), most):
+                letters[i] = rng.choice("bgjkqvxz")
+            own, left = line.split(), most
+            for i in rng.sample(range(len(own)), len(own)):
+                new = rng.choice(vocabulary)
+                if max(len(new), len(own[i])) <= left:
+                    left -= max(len(new), len(own[i]))
+                    own[i] = new
+            out.append(((low, high), line, " ".join(own), "".join(letters)))
+    return out
+
+
+def test_edited_lines_are_found_at_any_length(spark):
+    """Recall of linked pairs against edit similarity alone, by words and kind of edit."""
+    cases, found = edited_lines(1), collections.defaultdict(list)
+    texts, at = [], {}
+    for size, line, *copies in cases:
+        for kind, copy in zip(("words", "letters"), copies, strict=True):
+            if copy != line and edit_distance(line, copy) <= 0.15 * max(len(line), len(copy)) + 1e-9:
+                at[2 * len(at) + 1] = (size, kind)
+                texts += [line, copy]
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]  # a line comes before its copies
+    gone = {r.doc_id for r in line_dedup.dedup_lines(docs_of(spark, rows), whole=True).where("size(__dropped) > 0").collect()}
+    for i, key in at.items():
+        found[key].append(i in gone)
+    recall = {k: sum(v) / len(v) for k, v in sorted(found.items())}
+    assert all(v >= (0.99 if kind == "words" else 0.75) for (_, kind), v in recall.items()), recall
