@@ -466,3 +466,9 @@ def test_edited_lines_are_found_at_any_length(spark):
         found[key].append(i in gone)
     recall = {k: sum(v) / len(v) for k, v in sorted(found.items())}
     assert all(v >= (0.99 if kind == "words" else 0.75) for (_, kind), v in recall.items()), recall
+
+
+def test_lines_that_differ_in_numbers_are_kept(spark):
+    lines = ["2019", "7", "Total 45", "Total 9120", "Same line 12", "same LINE 7,", "Total 45!", "Invoice of the month of May, number 17", "Invoice of the month of May, number 18"]
+    out = line_dedup.dedup_lines(docs_of(spark, [(i, x, "en", "a") for i, x in enumerate(lines)]), whole=True)
+    assert sorted(r.doc_id for r in out.where("__dropped is not null").collect()) == [6, 8]  # equal, and similar by the edit test
