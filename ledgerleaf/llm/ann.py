@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -147,12 +148,13 @@ def nearest(queries: DataFrame, rows: DataFrame, *, k: int = 5, id_col: str = "v
 
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows without an id or of
     another length than most.  Ties go to the smaller id.  A query gets fewer than ``k`` rows only if there are
-    fewer.  Repeated rows are each a candidate.  Other columns are not looked at; an empty table gives an empty result.
+    fewer.  Repeated rows are each a candidate; a repeated query is asked once, and vectors that share an id are
+    queries of their own, each with its ranks.  Other columns are not looked at; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     tidy = lambda df: df.where(F.col(id_col).isNotNull() & usable(F.col(vector_col))).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows, queries = tidy(rows), tidy(queries)
+    rows, queries = tidy(rows), tidy(queries).distinct()
     lengths = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     schema = "query_id long, rank int, vec_id long, score double"
     if lengths is None:
@@ -199,6 +201,7 @@ def nearest(queries: DataFrame, rows: DataFrame, *, k: int = 5, id_col: str = "v
 
     def rank(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, q_ids = right.column("id").to_numpy(), left.column("id").to_numpy()
+        vectors = [xxhash.xxh3_64_intdigest(v) >> 1 for v in left.column("v").to_pylist()]
         out: list[tuple[np.ndarray, ...]] = []
         if len(ids) and len(q_ids):
             c, q = _matrix(right.column("v"), d), _matrix(left.column("v"), d)
@@ -213,13 +216,13 @@ def nearest(queries: DataFrame, rows: DataFrame, *, k: int = 5, id_col: str = "v
                     # equal vectors get equal scores: each pair is summed in the same order
                     score = (c[at] * q[i]).sum(1) / (c_norm[at] * q_norm[i])
                     best = np.lexsort((ids[at], -score))[:k]
-                    out.append((np.full(len(best), q_ids[i]), ids[at][best], score[best]))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        return pa.table(columns, ["query_id", "vec_id", "score"])
+                    out.append((np.full(len(best), q_ids[i]), np.full(len(best), vectors[i], np.int64), ids[at][best], score[best]))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+        return pa.table(columns, ["query_id", "vector", "vec_id", "score"])
 
     keys = ["part", "block", "turn"]
-    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInArrow(rank, "query_id long, vector long, vec_id long, score double")
+    order = W.partitionBy("query_id", "vector").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

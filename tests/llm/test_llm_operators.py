@@ -472,3 +472,14 @@ def test_lines_that_differ_in_numbers_are_kept(spark):
     lines = ["2019", "7", "Total 45", "Total 9120", "Same line 12", "same LINE 7,", "Total 45!", "Invoice of the month of May, number 17", "Invoice of the month of May, number 18"]
     out = line_dedup.dedup_lines(docs_of(spark, [(i, x, "en", "a") for i, x in enumerate(lines)]), whole=True)
     assert sorted(r.doc_id for r in out.where("__dropped is not null").collect()) == [6, 8]  # equal, and similar by the edit test
+
+
+def test_repeated_queries_get_all_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8)).tolist()
+    table = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(0, x[0]), (0, x[0]), (1, x[1]), (1, x[5])], table.schema)
+    once = lambda i, v: [r.vec_id for r in ann.nearest(spark.createDataFrame([(i, v)], table.schema), table, recall=1.0).orderBy("rank").collect()]
+    got = ann.nearest(asked, table, recall=1.0).collect()
+    assert [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r["rank"])] == once(0, x[0])
+    assert sorted(r.vec_id for r in got if r.query_id == 1) == sorted(once(1, x[1]) + once(1, x[5]))
