@@ -57,8 +57,8 @@ def _with(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def signatures(text: Column, chain: int = CHAIN) -> Column:
-    """Sorted distinct signatures of a text as 32-bit numbers (long).
+def signatures(text: Column, chain: int = CHAIN, wide: bool = False) -> Column:
+    """Sorted distinct signatures of a text as 32-bit numbers (long), or with ``wide`` as 64-bit numbers.
 
     A text with words but without a chain is its own only signature; a text without words, or null, has none.
     """
@@ -70,7 +70,8 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
                      .when(low.rlike(r"[\p{L}\p{N}]"), F.array(low)).otherwise(F.array().cast("array<string>")))
 
     chains = _with(F.lower(F.coalesce(text, F.lit(""))), of)
-    return F.array_sort(F.array_distinct(F.transform(chains, lambda x: F.crc32(x.cast("binary")))))
+    number = lambda x: F.xxhash64(x) if wide else F.crc32(x.cast("binary"))
+    return F.array_sort(F.array_distinct(F.transform(chains, number)))
 
 
 def fingerprint(sigs: Column) -> Column:
@@ -96,7 +97,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Rows with equal fingerprints are one class, named by its smallest id; texts without words are in none (null).  Pairs
     hold a < b and are complete between classes.  Rows without an id take no part.
     """
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), signatures(F.col(text_col), chain).alias("sigs"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), signatures(F.col(text_col), chain, wide=True).alias("sigs"))
     rows = materialise(rows.withColumn("key", F.sha2(fingerprint(F.col("sigs")), 256)))
     classes = rows.where(F.size("sigs") > 0).groupBy("key").agg(F.min("id").alias("class_id"), F.first("sigs").alias("sigs"))
     classes = materialise(classes)
@@ -168,12 +169,12 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id", bu
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("sigs", signatures(F.col("text"))), ["text", "sigs"])
+    rows = with_next(docs.withColumn("sigs", signatures(F.col("text"), wide=True)), ["text", "sigs"])
     n = F.length("text").cast("long")
     swap = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n.cast("int") - swap), F.substring("__next_text", F.lit(1), swap))
     rows = rows.select("doc_id", n.alias("n_chars"), "sigs", "__next_sigs", edited.alias("edited"))
-    rows = rows.withColumn("edited_sigs", signatures(F.col("edited")))
+    rows = rows.withColumn("edited_sigs", signatures(F.col("edited"), wide=True))
     return rows.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),

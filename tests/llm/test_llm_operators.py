@@ -483,3 +483,14 @@ def test_repeated_queries_get_all_their_neighbours(spark):
     got = ann.nearest(asked, table, recall=1.0).collect()
     assert [r.vec_id for r in sorted((r for r in got if r.query_id == 0), key=lambda r: r["rank"])] == once(0, x[0])
     assert sorted(r.vec_id for r in got if r.query_id == 1) == sorted(once(1, x[1]) + once(1, x[5]))
+
+
+def test_texts_of_equal_crc_are_no_near_duplicates(spark):
+    seen, pair = {}, None
+    for i in range(400_000):
+        x = f"word{i * 7919:x}"
+        pair = pair or (seen.get(c := zlib.crc32(x.encode())) and (seen[c], x))
+        seen[zlib.crc32(x.encode())] = x
+    assert pair
+    members, pairs = spotsigs.near_duplicates(docs_of(spark, [(i, x, "en", "a") for i, x in enumerate(pair)]))
+    assert {r.id: r.class_id for r in members.collect()} == {0: 0, 1: 1} and pairs.count() == 0
