@@ -27,6 +27,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of an ASCII text; per byte one step takes it in and seven follow with zeros."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "lambda s, e: xor(xor(s, e) >> 1, 3988292384::BIGINT * (xor(s, e) & 1))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {steps}), {step}), 4294967295::BIGINT)"
+
+
 class Stored:
     """A table written to the shared folder: columns compressed, lineage cut, gone when it is dropped."""
 

@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerleaf.llm import ann, bpe, language_id, line_dedup, mixing, pii, shingle_join, spotsigs, token_files, warc
+from ledgerleaf.llm import (
+    ann, bpe, chat, language_id, line_dedup, merkle, mixing, pii, shingle_join, spotsigs, token_files, trie, warc,
+)
 
-MODULES = (language_id, ann, shingle_join, warc, bpe, mixing, pii, line_dedup, spotsigs, token_files)
+MODULES = (language_id, ann, shingle_join, warc, bpe, mixing, pii, line_dedup, spotsigs, token_files, chat, merkle, trie)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
