@@ -18,10 +18,14 @@ class CategorizerConfig:
     char_max_features: int = 100_000
     stop_tokens: tuple[str, ...] = tuple(fv.NOISE_TOKENS + fv.CITY_STOP)
     # training
-    coarse_trainer: str = "lr"          # 'lr' | 'ovr' | 'nb'
+    coarse_trainer: str = "lr"          # 'lr' | 'ovr' | 'sgd' | 'nb'
     fine_trainer: str = "ensemble"      # 'ensemble' | 'nb'
     inverse_regularisation: float = 2.0
     ovr_reg_param: float = 1e-5
+    sgd_epochs: int = 4
+    sgd_batches: int = 12               # steps of an epoch, whatever the size of the table
+    sgd_pieces: int = 2                 # a batch is made of so many pieces, dealt anew each epoch
+    sgd_step: float = 16.0
     max_iter: int = 2_000               # a guard; the tolerances end the fits
     coarse_tol: float = 1e-3
     fine_tol: float = 1e-4
@@ -65,7 +69,7 @@ class CategorizerConfig:
         if not 0.0 <= self.low_conf <= 1.0:
             raise ValueError(f"low_conf must lie in [0, 1], got {self.low_conf}")
         for name, allowed in (
-            ("coarse_trainer", ("lr", "ovr", "nb")),
+            ("coarse_trainer", ("lr", "ovr", "sgd", "nb")),
             ("fine_trainer", ("ensemble", "nb")),
             ("threshold_rule", ("v7", "v6")),
             ("calibrate_on", ("train", "holdout")),

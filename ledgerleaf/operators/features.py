@@ -8,6 +8,11 @@ aggregation by term shuffles, after map-side partial sums.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,9 +20,11 @@ from pyspark.sql import functions as F
 from ledgerleaf.config import CategorizerConfig
 from ledgerleaf.functions import text as tx
 from ledgerleaf.operators.joins import join_bounded
+from ledgerleaf.plans.storage import materialise
 
 BRANCHES = ("w", "c")
 TERM_BYTES = 96          # a term, its numbers and row overhead
+TABLE_LIMIT_BYTES = 256 * 1024 * 1024      # of terms that each task holds
 
 
 def keyed(df: DataFrame, row_id: str, *columns: str) -> DataFrame:
@@ -115,8 +122,84 @@ def tfidf(tf: DataFrame, vocab: DataFrame, cfg: CategorizerConfig, *, row_id: st
     return weighed.withColumn("value", F.col("weight") / norm).drop("weight", "idf")
 
 
+def char_gram_totals(toks: DataFrame, cfg: CategorizerConfig, column: str = "toks") -> DataFrame:
+    """(term, total) of the character grams in a column of token arrays.
+
+    A gram lies inside one token, so tokens are counted first and each distinct one is expanded once.
+    """
+    tokens = toks.select(F.explode(column).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    n = int(toks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = tokens.repartition(n, "token")  # a small table of tokens still is a large one of grams
+    grams = tx.prefixed(tx.char_ngrams(F.array("token"), *cfg.char_ngrams), tx.CHAR_PREFIX)
+    return tokens.select(F.explode(grams).alias("term"), "n").groupBy("term").agg(F.sum("n").alias("total"))
+
+
+@dataclass
+class Terms:
+    """Known terms as arrays that a task holds: name, idf and branch by position."""
+
+    terms: pa.Array
+    idf: np.ndarray
+    is_word: np.ndarray
+
+    @classmethod
+    def collect(cls, vocab: DataFrame) -> "Terms":
+        """``vocab`` (term, idx, idf), of a size that ``fits`` has to allow."""
+        rows = vocab.select("term", "idf").orderBy("idx").toArrow()
+        names = rows.column("term").combine_chunks()
+        return cls(names, rows.column("idf").to_numpy(), pc.starts_with(names, tx.WORD_PREFIX).to_numpy(zero_copy_only=False))
+
+    def vectors(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, position, value) of all known terms, by row and position; values have length 1 per row and branch."""
+        row = pc.list_parent_indices(lists).to_numpy()
+        at = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=self.terms), -1).to_numpy()
+        known = at >= 0
+        n = max(len(self.terms), 1)
+        key, tf = np.unique(row[known].astype(np.int64) * n + at[known], return_counts=True)
+        row, at = key // n, key % n
+        word = self.is_word[at]
+        value = np.where(word, 1 + np.log(tf), tf) * self.idf[at]
+        part = row * 2 + word
+        return row, at, value / np.sqrt(np.bincount(part, value * value))[part] if len(part) else value
+
+
+def fits(terms: DataFrame, width: int = 0, limit: int = TABLE_LIMIT_BYTES) -> bool:
+    """Whether a task can hold the terms with ``width`` weights each; counts the table, which the configuration bounds."""
+    return terms.count() * (TERM_BYTES + 8 * width) <= limit
+
+
+def row_terms(text: str, cfg: CategorizerConfig) -> Column:
+    return F.element_at(F.transform(F.array(tx.tokens(F.col(text), cfg.stop_tokens)), lambda t: terms_of(t, cfg)), 1)
+
+
+def vectorize(df: DataFrame, vocab: DataFrame, cfg: CategorizerConfig, *, text: str = "text", row_id: str = "row_id",
+              limit: int = TABLE_LIMIT_BYTES) -> DataFrame:
+    """Add ``features``: the positions of a row's known terms, ascending, and their TF-IDF weights.
+
+    A row is handled by itself, without a shuffle, as long as a task can hold the names and idf of all terms; a larger
+    vocabulary joins the rows' terms, with the same result.  Rows without known terms have empty arrays.
+    """
+    if not fits(vocab, limit=limit):
+        values = tfidf(term_freq(keyed(df, row_id, text), cfg, text=text, row_id=row_id), vocab, cfg, row_id=row_id)
+        entries = values.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("__e"))
+        none = F.array().cast("array<struct<idx:int,value:double>>")
+        e = F.coalesce("__e", none)
+        return df.join(entries, row_id, "left").withColumn("features", F.struct(
+            F.transform(e, lambda x: x["idx"]).alias("indices"), F.transform(e, lambda x: x["value"]).alias("values"))).drop("__e")
+    table = df.sparkSession.sparkContext.broadcast(Terms.collect(vocab))
+
+    @F.arrow_udf("struct<indices:array<int>,values:array<double>>")
+    def vectors(lists: pa.Array) -> pa.Array:
+        row, at, value = table.value.vectors(lists)
+        ends = pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (at.astype(np.int32), value)]
+        return pa.StructArray.from_arrays(arrays, ["indices", "values"])
+
+    return df.withColumn("features", vectors(row_terms(text, cfg)))
+
+
 def fit_vocabulary(df: DataFrame, cfg: CategorizerConfig, *, text: str = "text", row_id: str = "row_id",
                    branches=BRANCHES) -> DataFrame:
-    """Vocabulary with idf of a text table, lazily."""
+    """Vocabulary with idf of a text table; terms are counted once and the counts kept, as several cuts read them."""
     tf = term_freq(keyed(df, row_id, text), cfg, text=text, row_id=row_id, branches=branches)
-    return with_idf(vocabulary(doc_freq(tf), cfg, branches), row_count(df))
+    return with_idf(vocabulary(materialise(doc_freq(tf)), cfg, branches), row_count(df))

@@ -4,37 +4,74 @@ from __future__ import annotations
 
 import warnings
 from concurrent.futures import ThreadPoolExecutor
+from functools import cached_property
 
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerleaf.config import CategorizerConfig
 from ledgerleaf.plans.storage import new_path
 
+#: Vector entries a task sums in one step of a fit.  Steps over fewer entries take longer to start than to run.
+TASK_ENTRIES = 2_000_000
 
-def vector_table(values: DataFrame, rows: DataFrame, n_features: int, *, row_id: str = "row_id",
-                 columns: tuple = ()) -> DataFrame:
-    """(row_id, *columns, features) with one sparse vector per row of ``rows``.
 
-    The vectors are written once in the layout of the vector type and read back as
-    vectors, so all fits share one table that outlives lost executors.
+class Vectors:
+    """Stored rows (row_id, label, coarse, features), one folder per bucket, so that a bucket's fit reads its own rows only.
+
+    The folders have the layout of the vector type, so all fits share one table that outlives lost executors.
     """
-    entries = values.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("e"))
-    e = F.coalesce("e", F.array().cast("array<struct<idx:int,value:double>>"))
-    laid_out = rows.select(row_id, *columns).join(entries, row_id, "left").select(
-        row_id, *columns,
-        F.struct(
-            F.lit(0).cast("byte").alias("type"), F.lit(n_features).alias("size"),
-            F.transform(e, lambda x: x["idx"]).alias("indices"),
-            F.transform(e, lambda x: x["value"]).alias("values"),
-        ).alias("features"))
-    path = new_path(rows.sparkSession, "vectors")
-    laid_out.write.parquet(path)
-    schema = T.StructType([*laid_out.schema.fields[:-1], T.StructField("features", VectorUDT())])
-    return rows.sparkSession.read.schema(schema).parquet(path)
+
+    def __init__(self, rows: DataFrame, buckets: list[str], n_features: int, *, columns: tuple = ("row_id", "label", "coarse"),
+                 bucket: str = "coarse"):
+        """``rows`` has ``features`` as ``features.vectorize`` gives them."""
+        self.spark, self.buckets, self.n_features = rows.sparkSession, list(buckets), n_features
+        self.path = new_path(self.spark, "vectors")
+        number = F.array_position(F.array(*[F.lit(b) for b in self.buckets]), F.col(bucket)).cast("int")
+        laid_out = rows.select(
+            *columns, F.struct(F.lit(0).cast("byte").alias("type"), F.lit(n_features).alias("size"),
+                               F.col("features.indices").alias("indices"), F.col("features.values").alias("values")).alias("features"),
+            number.alias("__bucket"))
+        laid_out.write.partitionBy("__bucket").parquet(self.path)
+        self.schema = laid_out.schema
+
+    def _read(self, schema: T.StructType, bucket: str | None) -> DataFrame:
+        table = self.spark.read.schema(schema).parquet(self.path)
+        if bucket is not None:
+            table = table.where(F.col("__bucket") == self.buckets.index(bucket) + 1)
+        return table.drop("__bucket")
+
+    def arrays(self, bucket: str | None = None) -> DataFrame:
+        """Rows with ``features`` as plain arrays."""
+        return self._read(self.schema, bucket)
+
+    @cached_property
+    def entries(self) -> dict[str, int]:
+        """Vector entries of each bucket."""
+        found = self.spark.read.schema(self.schema).parquet(self.path).groupBy("__bucket").agg(
+            F.sum(F.size("features.indices")).alias("n")).collect()
+        return {self.buckets[r["__bucket"] - 1]: r["n"] for r in found}
+
+    def vectors(self, bucket: str | None = None) -> DataFrame:
+        """Rows with ``features`` as vectors, in as many partitions as its entries are worth."""
+        fields = [T.StructField("features", VectorUDT()) if f.name == "features" else f for f in self.schema.fields]
+        entries = sum(n for b, n in self.entries.items() if bucket in (None, b))
+        return self._read(T.StructType(fields), bucket).coalesce(1 + entries // TASK_ENTRIES)
+
+    def in_pieces(self, piece: Column, n: int) -> DataFrame:
+        """``arrays`` stored anew in one folder per ``piece`` (0 to n - 1), whose number is ``__piece``."""
+        path = new_path(self.spark, "pieces")
+        rows = self.arrays().withColumn("__piece", piece)
+        rows.repartition(n, "__piece").write.partitionBy("__piece").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
+    def values(self, *columns: str) -> DataFrame:
+        """(*columns, idx, value), one row per known term of a row."""
+        entries = F.explode(F.arrays_zip("features.indices", "features.values")).alias("e")
+        return self.arrays().select(*columns, entries).select(*columns, F.col("e.indices").alias("idx"), F.col("e.values").alias("value"))
 
 
 def _indexed(table: DataFrame, label: str, classes: list[str]) -> DataFrame:

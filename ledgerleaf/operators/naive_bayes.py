@@ -1,38 +1,58 @@
-"""Complement naive Bayes in closed form, as one aggregation by term."""
+"""Complement naive Bayes in closed form from stored vectors."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def class_sums(values: DataFrame, label: str, classes: list[str]) -> DataFrame:
-    """(term, idx, sums): feature mass of each class, in the order of ``classes``.
+    """(idx, sums): feature mass of each class, in the order of ``classes``; ``values`` has (label, idx, value).
 
-    Rows are partially summed before the shuffle, so a term that most rows hold
-    reaches the reducer as one row per map task.
+    One sum per (idx, class) whatever the number of classes.  Rows are partially summed before the shuffle, so a
+    term that most rows hold reaches the reducer as one row per map task and class.
     """
-    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label))
-    per_class = ", ".join(f"sum(if(class_no = {i + 1}, value, 0D))" for i in range(len(classes)))
-    return values.withColumn("class_no", position).groupBy("term").agg(
-        F.first("idx").alias("idx"), F.expr(f"array({per_class}) AS sums"))
+    position = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)).cast("int") - 1
+    sums = values.select("idx", position.alias("k"), "value").groupBy("idx", "k").agg(F.sum("value").alias("s"))
+    lists = sums.groupBy("idx").agg(F.collect_list(F.struct("k", "s")).alias("e"))
+    width = len(classes)
+
+    @F.arrow_udf("array<double>")
+    def laid_out(e: pa.Array) -> pa.Array:
+        out = np.zeros((len(e), width))
+        flat = e.flatten()
+        out[e.value_parent_indices().to_numpy(), flat.field("k").to_numpy()] = flat.field("s").to_numpy()
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+
+    return lists.select("idx", laid_out("e").alias("sums"))
 
 
 def complement_weights(sums: DataFrame, blocks: list[list[list[int]]], alpha: float = 0.5,
                        column: str = "w") -> DataFrame:
-    """Per term and class: -ln of the share that the term has outside the class.
+    """(idx, w): per term and class -ln of the share that the term has outside the class.
 
     ``blocks`` lists independent models; a model lists its classes, a class the
     positions of ``sums`` that it adds up.  One pass serves the coarse model and
-    every bucket: (term, idx, w) with the classes of all blocks side by side.
+    every bucket, with the classes of all blocks side by side.  ``sums`` is read twice; the driver sees one number per
+    class.
     """
-    total = lambda ids: " + ".join(f"sums[{i}]" for i in ids)
-    outside = []
+    mass = sums.select(F.posexplode("sums").alias("k", "s")).groupBy("k").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    n = mass[0].n if mass else 0
+    total = np.zeros(max((r.k for r in mass), default=-1) + 1)
+    for r in mass:
+        total[r.k] = r.s
+    columns = []
     for classes in blocks:
-        everything = total([i for ids in classes for i in ids])
-        outside += [f"({everything}) - ({total(ids)}) + {alpha!r}D AS c{len(outside) + j}" for j, ids in enumerate(classes)]
-    table = sums.selectExpr("term", "idx", *outside)
-    n = range(len(outside))
-    totals = table.selectExpr(f"array({', '.join(f'sum(c{i})' for i in n)}) AS t").scalar()
-    with_totals = table.withColumn("t", totals)
-    return with_totals.selectExpr("term", "idx", f"array({', '.join(f'ln(t[{i}]) - ln(c{i})' for i in n)}) AS {column}")
+        everything = {i for ids in classes for i in ids}
+        columns += [[i in everything and i not in ids for i in range(len(total))] for ids in classes]
+    outside = np.array(columns, float).reshape(-1, len(total)).T
+    log_total, width = np.log(total @ outside + alpha * n), outside.shape[1]
+
+    @F.arrow_udf("array<double>")
+    def weights(s: pa.Array) -> pa.Array:
+        out = log_total - np.log(s.flatten().to_numpy().reshape(len(s), -1) @ outside + alpha)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+
+    return sums.select("idx", weights("sums").alias(column))

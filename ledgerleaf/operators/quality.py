@@ -5,12 +5,13 @@ Row rules are booleans in one projection; only the duplicate rule needs a join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf import fixed_values as fv
-from ledgerleaf.operators.joins import join_skewed
+from ledgerleaf.operators.joins import few, range_join, with_copies
 
+ANY_LABEL, BANDS = "*", ("under", "lower", "upper", "over")
 OPTIONAL_FIELDS = ("merchant_name", "city", "reference", "keyword_hit")
 
 
@@ -71,10 +72,26 @@ def direction_rules(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def duplicate_rules(df: DataFrame, key: str = "transaction_id", row_id: str = "row_id") -> DataFrame:
-    """Add ``copies`` and ``duplicate``.  Counting pre-aggregates; joining the counts back spreads hot ids."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)
-    out = join_skewed(df, counts, key, "left", spread_by=row_id)
-    return out.withColumn("copies", F.coalesce("copies", F.lit(1))).withColumn("duplicate", F.col("copies") > 1)
+    """Add ``copies`` and ``duplicate``."""
+    return with_copies(df, key, spread_by=row_id).withColumn("duplicate", F.col("copies") > 1)
+
+
+def limit_bands(spark: SparkSession, limits: dict | None = None, default: tuple = fv.AMOUNT_DEFAULT) -> DataFrame:
+    """(label, band, low, high): the amounts of a label below, in both halves of, and above its range; ``ANY_LABEL`` for all others."""
+    rows = []
+    for label, (low, high) in {**(limits or fv.AMOUNTS), ANY_LABEL: default}.items():
+        cuts = [None, low, (low + high) // 2, high, None]
+        rows += [(label, band, a, b) for band, a, b in zip(BANDS, cuts, cuts[1:], strict=False)]
+    return spark.createDataFrame(rows, "label string, band string, low long, high long")
+
+
+def amount_bands(df: DataFrame, bands: DataFrame, label: str = "category_id", amount: str = "amount") -> DataFrame:
+    """Add ``band``, ``low`` and ``high`` from a table of limits: the band of the row's label (of ``ANY_LABEL`` if the table
+    does not name it) that holds its amount, low end included.  Null amounts have none."""
+    named = bands.select(F.col("label").alias("__known")).distinct()
+    named = F.broadcast(named) if few(named) else named
+    rows = df.join(named, F.col(label) == F.col("__known"), "left").withColumn("label", F.coalesce("__known", F.lit(ANY_LABEL)))
+    return range_join(rows, bands, amount, "low", "high", ["label"]).drop("label", "__known")
 
 
 RULES = ("posted_early", "posted_late", "out_of_range", "tiny", "odd_channel",

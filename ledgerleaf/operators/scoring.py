@@ -16,7 +16,7 @@ from ledgerleaf.config import CategorizerConfig
 from ledgerleaf.functions import lexicon as lx
 from ledgerleaf.functions import text as tx
 from ledgerleaf.operators import features as ft
-from ledgerleaf.operators.joins import join_bounded
+from ledgerleaf.plans.storage import materialise
 
 MODEL_LIMIT_BYTES = 256 * 1024 * 1024      # of a model that each task holds
 SCORE_ROWS = 256                           # rows whose weights are laid out at a time
@@ -43,12 +43,9 @@ class Head:
 
 
 @dataclass
-class TermTable:
-    """A model's terms as arrays that a task holds: (position, idf, branch, one weight per class)."""
+class TermTable(ft.Terms):
+    """A model's terms as arrays that a task holds, with one weight per class."""
 
-    terms: pa.Array
-    idf: np.ndarray
-    is_word: np.ndarray
     weights: np.ndarray
 
     @classmethod
@@ -60,27 +57,13 @@ class TermTable:
         flat = rows.column("w").combine_chunks().flatten()
         return cls(names, rows.column("idf").to_numpy(), words, flat.to_numpy().reshape(-1, width))
 
-    def vectors(self, lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row, position, value) of all known terms, by row and position; values have length 1 per row and branch."""
-        row = pc.list_parent_indices(lists).to_numpy()
-        at = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=self.terms), -1).to_numpy()
-        known = at >= 0
-        n = max(len(self.terms), 1)
-        key, tf = np.unique(row[known].astype(np.int64) * n + at[known], return_counts=True)
-        row, at = key // n, key % n
-        word = self.is_word[at]
-        value = np.where(word, 1 + np.log(tf), tf) * self.idf[at]
-        part = row * 2 + word
-        return row, at, value / np.sqrt(np.bincount(part, value * value))[part] if len(part) else value
-
 
 def fits(terms: DataFrame, width: int) -> bool:
-    """Whether a task can hold the model; counts the table, which the configuration bounds."""
-    return terms.count() * (ft.TERM_BYTES + 8 * width) <= MODEL_LIMIT_BYTES
+    """Whether a task can hold the model."""
+    return ft.fits(terms, width, MODEL_LIMIT_BYTES)
 
 
-def row_terms(text: str, cfg: CategorizerConfig) -> Column:
-    return F.element_at(F.transform(F.array(tx.tokens(F.col(text), cfg.stop_tokens)), lambda t: ft.terms_of(t, cfg)), 1)
+row_terms = ft.row_terms
 
 
 def linear_scores(df: DataFrame, table: Broadcast, width: int, cfg: CategorizerConfig, *, text: str = "text") -> DataFrame:
@@ -106,54 +89,102 @@ def linear_scores(df: DataFrame, table: Broadcast, width: int, cfg: CategorizerC
     return df.withColumn("scores", dot(row_terms(text, cfg)))
 
 
-def joined_scores(df: DataFrame, terms: DataFrame, width: int, cfg: CategorizerConfig, *,
-                  text: str = "text", row_id: str = "row_id") -> DataFrame:
-    """(row_id, scores) for a model that no task can hold: rows' terms meet the term table in a join.
+def blocks(n_terms: int, width: int, limit: int = MODEL_LIMIT_BYTES) -> list[tuple[int, int]]:
+    """Ranges of term positions whose weights a task can hold; together all terms."""
+    per = max(1, limit // (ft.TERM_BYTES + 8 * max(width, 1)))
+    return [(lo, min(lo + per, n_terms)) for lo in range(0, n_terms, per)]
+
+
+@dataclass
+class Block:
+    """The weights of the terms from position ``start`` on."""
+
+    start: int
+    terms: pa.Array
+    weights: np.ndarray
+
+    @classmethod
+    def collect(cls, terms: DataFrame, width: int, lo: int, hi: int) -> "Block":
+        rows = terms.where(F.col("idx").between(lo, hi - 1)).select("term", "w").orderBy("idx").toArrow()
+        flat = rows.column("w").combine_chunks().flatten()
+        return cls(lo, rows.column("term").combine_chunks(), flat.to_numpy().reshape(-1, width))
+
+    def entries(self, features: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, position in the block, value) of the entries of ``features`` that lie in the block."""
+        indices, values = features.field("indices"), features.field("values")
+        row, at = indices.value_parent_indices().to_numpy(), indices.flatten().to_numpy() - self.start
+        inside = (at >= 0) & (at < len(self.weights))
+        return row[inside], at[inside], values.flatten().to_numpy()[inside]
+
+
+def _adds(held: Broadcast, width: int):
+    @F.arrow_udf("array<double>")
+    def add(scores: pa.Array, features: pa.Array) -> pa.Array:
+        out = scores.flatten().to_numpy().reshape(len(scores), width).copy()
+        row, at, value = held.value.entries(features)
+        for a in range(0, len(out), SCORE_ROWS):
+            i, j = np.searchsorted(row, [a, a + SCORE_ROWS])
+            if i < j:
+                first = np.flatnonzero(np.diff(row[i:j], prepend=-1))
+                out[row[i:j][first]] += np.add.reduceat(held.value.weights[at[i:j]] * value[i:j, None], first, axis=0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * width), pa.array(out.ravel()))
+
+    return add
+
+
+def _block_by_block(rows: DataFrame, terms: DataFrame, ranges: list[tuple[int, int]], width: int, column: str, step) -> DataFrame:
+    """``column`` after ``step(rows, broadcast block)`` for each block of the term table.
 
-    ``row_id`` must be unique.  Scaling to length 1 is folded in: per row and branch the sums of v*w and v*v are taken
-    together and divided afterwards.  Rows without a known term are absent from the result.
+    A block is broadcast alone; the rows are stored in between, so that a task holds one block.  Rows never shuffle.
     """
-    tf = ft.term_freq(ft.keyed(df, row_id, text), cfg, text=text, row_id=row_id)
-    joined = join_bounded(tf, terms.select("term", "idf", "w"), "term", max_rows=ft.max_terms(cfg),
-                          row_bytes=ft.TERM_BYTES + 8 * width, spread_by=row_id)
-    v = ft.weight(F.col("term"), F.col("tf"), F.col("idf"))
-    weighed = joined.select(row_id, ft.branch_of(F.col("term")).alias("branch"), v.alias("v"), F.posexplode("w").alias("k", "w"))
-    per_branch = weighed.groupBy(row_id, "branch", "k").agg(
-        (F.sum(F.col("v") * F.col("w")) / F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("s"))
-    sums = per_branch.groupBy(row_id, "k").agg(F.sum("s").alias("s"))
-    return sums.groupBy(row_id).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("scores"))
+    for n, (lo, hi) in enumerate(ranges):
+        held = rows.sparkSession.sparkContext.broadcast(Block.collect(terms, width, lo, hi))
+        rows = rows.withColumn(column, step(held))
+        if n + 1 < len(ranges):
+            rows = materialise(rows)
+    return rows
+
+
+def blocked_scores(vectors: DataFrame, terms: DataFrame, ranges: list[tuple[int, int]], width: int) -> DataFrame:
+    """Add ``scores`` to rows with ``features``, for a model that no task can hold: every block adds its part."""
+    rows = vectors.withColumn("scores", F.array_repeat(F.lit(0.0), width))
+    return _block_by_block(rows, terms, ranges, width, "scores", lambda held: _adds(held, width)("scores", "features"))
 
 
 def with_probabilities(df: DataFrame, heads: list[Head], digits: int, *, scores: str = "scores",
                        prefix: str = "fine_p_") -> DataFrame:
     """Add ``coarse_p`` and one ``fine_p_<bucket>`` array per bucket with heads.
 
-    Each step is its own projection of plain columns: what is used twice is
-    computed once, inside generated code.  Heads of one bucket vote by weight.
+    Links, votes and rounding of all heads are one Arrow function, next to the one that makes the scores, whatever the
+    number of classes.  Heads of one bucket vote by weight.  Null scores count as zeros.
     """
-    z, top, e, total, arrays = [], [], [], [], []
-    for h, head in enumerate(heads):
-        k = range(len(head.classes))
-        bias = head.intercepts or (0.0,) * len(head.classes)
-        z += [f"coalesce({scores}[{head.offset + i}], 0D) + {float(bias[i])!r}D AS z{h}_{i}" for i in k]
-        if head.link == "softmax":
-            top.append(f"greatest({', '.join(f'z{h}_{i}' for i in k)}) AS top{h}")
-            e += [f"exp(z{h}_{i} - top{h}) AS e{h}_{i}" for i in k]
-        else:
-            e += [f"1D / (1D + exp(-z{h}_{i})) AS e{h}_{i}" for i in k]
-        total.append(f"{' + '.join(f'e{h}_{i}' for i in k)} AS total{h}")
-    names = []
-    for bucket in dict.fromkeys(h.bucket for h in heads):
-        mine = [h for h, head in enumerate(heads) if head.bucket == bucket]
-        votes = sum(heads[h].vote for h in mine)
-        votes_of = lambda i: " + ".join(f"e{h}_{i} / total{h} * {heads[h].vote / votes!r}D" for h in mine)
-        names.append(f"{prefix}{bucket}" if bucket else "coarse_p")
-        per_class = ", ".join(f"round({votes_of(i)}, {digits})" for i in range(len(heads[mine[0]].classes)))
-        arrays.append(f"array({per_class}) AS {names[-1]}")
-    out = df
-    for step in (z, top, e, total):
-        out = out.selectExpr("*", *step) if step else out
-    return fence(out.selectExpr(*[f"`{c}`" for c in df.columns], *arrays), *names)
+    buckets = {bucket: [h for h in heads if h.bucket == bucket] for bucket in dict.fromkeys(h.bucket for h in heads)}
+    names = [f"{prefix}{bucket}" if bucket else "coarse_p" for bucket in buckets]
+    width, scale = max(h.offset + len(h.classes) for h in heads), 10.0 ** digits
+
+    @F.arrow_udf("struct<" + ",".join(f"p{i}:array<double>" for i in range(len(names))) + ">")
+    def linked(lists: pa.Array) -> pa.Array:
+        z = np.zeros((len(lists), width))
+        given = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+        if len(given):
+            z[given] = lists.flatten().to_numpy().reshape(len(given), -1)[:, :width]
+        out = []
+        for mine in buckets.values():
+            p = sum(h.vote * probabilities(z, h) for h in mine) / sum(h.vote for h in mine)
+            p = np.floor(p * scale + 0.5) / scale
+            ends = np.arange(len(z) + 1, dtype=np.int32) * p.shape[1]
+            out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(p.ravel())))
+        return pa.StructArray.from_arrays(out, [f"p{i}" for i in range(len(out))])
+
+    linked_ = df.withColumn("__linked", linked(F.col(scores)))
+    return linked_.withColumns({name: F.col(f"__linked.p{i}") for i, name in enumerate(names)}).drop("__linked")
+
+
+def probabilities(scores: np.ndarray, head: Head) -> np.ndarray:
+    """Class probabilities of one head for rows of ``scores``."""
+    z = scores[:, head.offset: head.offset + len(head.classes)] + np.array(head.intercepts or 0.0)
+    e = np.exp(z - z.max(axis=1, keepdims=True)) if head.link == "softmax" else 1 / (1 + np.exp(-z))
+    return e / e.sum(axis=1, keepdims=True)
 
 
 def _sum(columns: list[Column]) -> Column:
@@ -299,6 +330,37 @@ def top_contributions(table: Broadcast, cfg: CategorizerConfig, terms: Column, s
     return F.when(slot.isNotNull(), found)
 
 
+TOP = "array<struct<at:int,term:string,contribution:double>>"
+
+
+def _merges(held: Broadcast, k: int):
+    @F.arrow_udf(TOP)
+    def merged(so_far: pa.Array, features: pa.Array, slots: pa.Array) -> pa.Array:
+        block, best = held.value, so_far.flatten()
+        row, at, value = block.entries(features)
+        amount = np.round(value * block.weights[at, pc.fill_null(slots, 0).to_numpy()[row]], 9) if len(row) else value
+        names = pa.concat_arrays([best.field("term"), block.terms.take(pa.array(at))])
+        row = np.concatenate([so_far.value_parent_indices().to_numpy(), row])
+        at = np.concatenate([best.field("at").to_numpy(), at + block.start])
+        amount = np.concatenate([best.field("contribution").to_numpy(), amount])
+        order = np.lexsort((at, -amount, row))
+        place = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        keep = order[place < k]
+        ends = np.searchsorted(row[keep], np.arange(len(so_far) + 1)).astype(np.int32)
+        parts = [pa.array(at[keep].astype(np.int32)), names.take(pa.array(keep)), pa.array(amount[keep])]
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(parts, ["at", "term", "contribution"]))
+
+    return merged
+
+
+def blocked_contributions(vectors: DataFrame, terms: DataFrame, ranges: list[tuple[int, int]], width: int, slot: str, k: int) -> DataFrame:
+    """Add ``contributions`` to rows with ``features``: as ``top_contributions``, the best ``k`` so far merged with each block's."""
+    rows = _block_by_block(vectors.withColumn("__top", F.array().cast(TOP)), terms, ranges, width, "__top",
+                           lambda held: _merges(held, k)("__top", "features", F.col(slot).cast("int")))
+    found = F.transform("__top", lambda x: F.struct(x["term"].alias("term"), x["contribution"].alias("contribution")))
+    return rows.withColumn("contributions", F.when(F.col(slot).isNotNull(), found)).drop("__top")
+
+
 def explanation(contributions: Column) -> Column:
     """``term:amount`` parts joined by "; "; null where nothing contributes."""
     parts = F.transform(contributions, lambda c: F.concat(c["term"], F.lit(":"), tx.fixed_decimals(c["contribution"], 2, 9)))

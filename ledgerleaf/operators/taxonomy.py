@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerleaf.plans.storage import new_path
+from ledgerleaf.operators.joins import join_skewed
+from ledgerleaf.plans.storage import materialise, new_path
 
 DEFAULT_FILE = Path(__file__).resolve().parent.parent / "data" / "taxonomy.json"
 
@@ -63,3 +64,40 @@ def taxonomy_rollup(df: DataFrame, label: str, taxonomy: DataFrame, amount: str
     return df.join(top, label, "left").groupBy(
         F.coalesce("top_label", F.col(label)).alias("top_label"), "top_name").agg(
         F.count(F.lit(1)).alias("total_rows"), F.sum(amount).alias("amount"))
+
+
+def closure(edges: DataFrame) -> DataFrame:
+    """(node, ancestor, distance) for every ancestor of every node, whatever the depth; ``edges`` has (node, parent).
+
+    Every round joins the known paths with themselves, so a chain of n levels takes log2(n) rounds.  Several parents are
+    allowed; the shortest distance counts.  A node on a cycle is its own ancestor (see ``cycles``).  Edges without a parent
+    are dropped.  An ancestor of a third of all nodes is salted.
+    """
+    paths = materialise(edges.where("node is not null and parent is not null").select("node", F.col("parent").alias("ancestor")).distinct()
+                        .withColumn("distance", F.lit(1)))
+    n = paths.count()
+    while n:
+        further = paths.select(F.col("node").alias("ancestor"), F.struct("ancestor", "distance").alias("__up"))
+        longer = join_skewed(paths, further, "ancestor", "inner", spread_by="node").select(
+            "node", F.col("__up.ancestor").alias("ancestor"), (F.col("distance") + F.col("__up.distance")).alias("distance"))
+        paths = materialise(paths.unionByName(longer).groupBy("node", "ancestor").agg(F.min("distance").alias("distance")))
+        before, n = n, paths.count()
+        if n == before:
+            break
+    return paths
+
+
+def cycles(paths: DataFrame) -> DataFrame:
+    """(node, length) of every node of a ``closure`` that reaches itself."""
+    return paths.where(F.col("node") == F.col("ancestor")).select("node", F.col("distance").alias("length"))
+
+
+def rollup(facts: DataFrame, node: str, paths: DataFrame, *amounts: str) -> DataFrame:
+    """(ancestor, total_rows, *amounts, depth): rows and sums of each node with all below it; ``depth`` is how far down they lie.
+
+    Facts are summed per node before they meet the paths, so a hot node is one row.
+    """
+    own = facts.groupBy(F.col(node).alias("node")).agg(F.count(F.lit(1)).alias("total_rows"), *(F.sum(a).alias(a) for a in amounts))
+    up = paths.where("node != ancestor").unionByName(own.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("distance")))
+    return up.join(own, "node").groupBy("ancestor").agg(
+        F.sum("total_rows").alias("total_rows"), *(F.sum(a).alias(a) for a in amounts), F.max("distance").alias("depth"))

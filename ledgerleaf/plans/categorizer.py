@@ -16,6 +16,7 @@ from ledgerleaf import fixed_values as fv
 from ledgerleaf.config import CategorizerConfig
 from ledgerleaf.functions import text as tx
 from ledgerleaf.operators import features as ft
+from ledgerleaf.operators import gradients as gr
 from ledgerleaf.operators import labels as lb
 from ledgerleaf.operators import linear as ln
 from ledgerleaf.operators import naive_bayes as nb
@@ -30,6 +31,9 @@ OUTPUT_COLUMNS = ("label", "confidence", "coarse_label", "coarse_confidence", "n
 class CategorizerModel:
     """A term table with weights plus small per-class facts."""
 
+    #: The stored vectors of the training rows; only a model that was fitted in this session has them.
+    trained_on: ln.Vectors | None = None
+
     def __init__(self, cfg: CategorizerConfig, terms: DataFrame, heads: list[sc.Head],
                  buckets: dict[str, sc.Bucket], coarse_thresholds: dict[str, float]):
         self.cfg, self.terms, self.heads = cfg, terms, heads
@@ -50,25 +54,31 @@ class CategorizerModel:
     def fitted_buckets(self) -> list[str]:
         return [b for b, spec in self.buckets.items() if spec.kind == "fitted"]
 
+    @cached_property
+    def ranges(self) -> list[tuple[int, int]]:
+        """The blocks of the term table that a task can hold; one for nearly every model."""
+        return sc.blocks(self.terms.count(), self.width, sc.MODEL_LIMIT_BYTES)
+
     @cached_property
     def table(self) -> Broadcast | None:
-        """The terms as arrays for every task; None if they are too large for that."""
-        if not sc.fits(self.terms, self.width):
+        """The terms as arrays for every task; None if they are more than one block."""
+        if len(self.ranges) > 1:
             return None
         return self.terms.sparkSession.sparkContext.broadcast(sc.TermTable.collect(self.terms, self.width))
 
+    def _vectors(self, df: DataFrame, text: str) -> DataFrame:
+        own = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
+        return ft.vectorize(own, self.terms, self.cfg, text=text, row_id="__row").drop("__row")
+
     def probabilities(self, df: DataFrame, *, text: str = "text") -> DataFrame:
         """Add ``coarse_p`` and one ``fine_p_<bucket>`` array per fitted bucket.
 
-        Rows are scored one by one, without a shuffle.  Only a model beyond ``MODEL_LIMIT_BYTES`` takes a join, for
-        which the rows get ids of their own.
+        Rows are scored one by one, without a shuffle; a model of several blocks takes one pass for each of them.
         """
         if self.table is not None:
             scored = sc.linear_scores(df, self.table, self.width, self.cfg, text=text)
         else:
-            own = materialise(df.withColumn("__row", F.monotonically_increasing_id()))
-            scores = sc.joined_scores(own, self.terms, self.width, self.cfg, text=text, row_id="__row")
-            scored = own.join(scores, "__row", "left").drop("__row")
+            scored = sc.blocked_scores(self._vectors(df, text), self.terms, self.ranges, self.width).drop("features")
         return sc.with_probabilities(scored, self.heads, self.cfg.decision_digits).drop("scores")
 
     def decide(self, df: DataFrame, *, text: str = "text", low_conf: float | None = None) -> DataFrame:
@@ -99,14 +109,35 @@ class CategorizerModel:
                  for i, c in enumerate(h.classes) for x in (f"{h.bucket}/{c}", h.offset + i)]
         if not slots:
             raise ValueError("the model has no head that explains fine classes")
-        if self.table is None:
-            raise ValueError("the model is too large to explain rows")
         key = F.concat_ws("/", "coarse_label", "fine_class")
         slot = F.when(F.col("needs_review") & F.col("fitted"), F.try_element_at(F.create_map(*slots), key))
         rows = sc.fence(decided.withColumn("__slot", slot), "__slot")
-        found = sc.top_contributions(self.table, self.cfg, sc.row_terms(text, self.cfg), F.col("__slot"))
-        return rows.withColumn("contributions", found).withColumn(
-            "explanation", sc.explanation(F.col("contributions"))).drop("__slot")
+        if self.table is not None:
+            rows = rows.withColumn("contributions", sc.top_contributions(
+                self.table, self.cfg, sc.row_terms(text, self.cfg), F.col("__slot")))
+        else:
+            due = rows.withColumn("__text", F.when(F.col("__slot").isNotNull(), F.col(text)))
+            rows = sc.blocked_contributions(self._vectors(due, "__text"), self.terms, self.ranges, self.width, "__slot",
+                                            self.cfg.top_features).drop("features", "__text")
+        return rows.withColumn("explanation", sc.explanation(F.col("contributions"))).drop("__slot")
+
+    def certificate(self) -> DataFrame:
+        """Per class of the logistic heads: (bucket, cls, n_rows, mass, gradient, start).
+
+        ``gradient`` is the norm of the penalised loss's gradient over all training rows, ``start`` what it is with zero
+        coefficients, ``mass`` the class's share of the weighted probabilities.
+        """
+        if self.trained_on is None:
+            raise ValueError("only a model fitted in this session has its training rows")
+        vectors, rows = self.trained_on, []
+        fitted = [h for h in self.heads if h.intercepts]
+        weights = self.terms.select("w").orderBy("idx").toArrow().column("w").combine_chunks().flatten().to_numpy().reshape(-1, self.width)
+        for h in fitted:
+            coef = weights[:, h.offset: h.offset + len(h.classes)]
+            facts = gr.certificate(vectors, h.bucket or None, "label" if h.bucket else "coarse", list(h.classes), coef,
+                                   np.array(h.intercepts), h.link, self.cfg)
+            rows += [(h.bucket, *x) for x in facts]
+        return vectors.spark.createDataFrame(rows, "bucket string, cls string, n_rows long, mass double, gradient double, start double")
 
     # ---- persistence ------------------------------------------------------------
 
@@ -156,19 +187,19 @@ class Categorizer:
         else:
             train = calibration = rows
         layout = self._layout(train)
-        keyed = ft.keyed(train, "row_id", "text", "label", "coarse")
-        tf = ft.term_freq(keyed, cfg, carry=("label", "coarse"))
-        vocab = materialise(ft.with_idf(ft.vocabulary(ft.doc_freq(tf), cfg), ft.row_count(train)))
-        values = ft.tfidf(tf, vocab, cfg)
-        terms, heads = self._fit_heads(train, vocab, values, layout)
+        vocab = materialise(ft.fit_vocabulary(train, cfg))
+        # every fit below reads these vectors; the text is expanded into terms no more
+        vectors = ln.Vectors(ft.vectorize(train, vocab, cfg), sorted(layout), vocab.count())
+        terms, heads = self._fit_heads(vectors, vocab, layout)
         buckets = {
             b: sc.Bucket("missing") if not kids else
             sc.Bucket("solo", tuple(kids), {kids[0]: cfg.effective_fine_floors.get(kids[0], fv.DEFAULT_THRESHOLD)})
             if len(kids) == 1 else sc.Bucket("fitted", tuple(kids))
             for b, kids in layout.items()
         }
-        model = CategorizerModel(cfg, terms, heads, buckets, {})
-        return self._calibrate(model, calibration)
+        model = self._calibrate(CategorizerModel(cfg, terms, heads, buckets, {}), calibration)
+        model.trained_on = vectors
+        return model
 
     def _layout(self, train: DataFrame) -> dict[str, list[str]]:
         """Labels present per coarse bucket; as small as the taxonomy."""
@@ -180,7 +211,7 @@ class Categorizer:
             layout.setdefault(r["coarse"], []).append(r["label"])
         return {k: sorted(v) for k, v in layout.items()}
 
-    def _fit_heads(self, train, vocab, values, layout):
+    def _fit_heads(self, vectors, vocab, layout):
         """Term table and heads: the linear blocks come first in the weight array, then the Bayes blocks."""
         cfg = self.cfg
         coarse = sorted(b for b, kids in layout.items() if kids)
@@ -192,17 +223,18 @@ class Categorizer:
 
         heads, matrices, blocks, offset = [], [], [], 0
         if cfg.coarse_trainer != "nb" or ensemble:
-            vectors = ln.vector_table(values, train, vocab.count(), columns=("label", "coarse"))
             jobs = []
             if cfg.coarse_trainer != "nb":
                 if cfg.coarse_trainer == "lr":
                     jobs.append(("", coarse, "softmax", 1.0, lambda: ln.fit_softmax(
-                        vectors, "coarse", coarse, cfg, cfg.coarse_tol)))
+                        vectors.vectors(), "coarse", coarse, cfg, cfg.coarse_tol)))
+                elif cfg.coarse_trainer == "sgd":
+                    jobs.append(("", coarse, "ovr", 1.0, lambda: gr.fit_sgd(vectors, "coarse", coarse, cfg)))
                 else:
-                    jobs.append(("", coarse, "ovr", 1.0, lambda: ln.fit_one_vs_rest(vectors, "coarse", coarse, cfg)))
+                    jobs.append(("", coarse, "ovr", 1.0, lambda: ln.fit_one_vs_rest(vectors.vectors(), "coarse", coarse, cfg)))
             if ensemble:
                 jobs += [(b, kids, "softmax", linear_vote, lambda b=b, kids=kids: ln.fit_softmax(
-                    vectors.where(F.col("coarse") == b), "label", kids, cfg)) for b, kids in fine.items()]
+                    vectors.vectors(b), "label", kids, cfg)) for b, kids in fine.items()]
             fits = ln.fit_many([job for *_, job in jobs])
             for (bucket, classes, how, vote, _), (coef, intercepts) in zip(jobs, fits):
                 heads.append(sc.Head(bucket, tuple(classes), offset, how, vote, tuple(intercepts), bool(bucket)))
@@ -219,11 +251,11 @@ class Categorizer:
 
         table, parts = vocab.select("term", "idx", "idf"), []
         if matrices:
-            table = table.join(_weight_table(train.sparkSession, np.hstack(matrices)), "idx")
+            table = table.join(_weight_table(vectors.spark, np.hstack(matrices)), "idx")
             parts.append(F.col("w"))
         if blocks:
-            sums = materialise(nb.class_sums(values, "label", all_labels))
-            table = table.join(nb.complement_weights(sums, blocks, cfg.nb_alpha, "nb_w").drop("idx"), "term")
+            sums = materialise(nb.class_sums(vectors.values("label"), "label", all_labels))
+            table = table.join(nb.complement_weights(sums, blocks, cfg.nb_alpha, "nb_w"), "idx")
             parts.append(F.col("nb_w"))
         return materialise(table.select("term", "idx", "idf", F.concat(*parts).alias("w"))), heads
 

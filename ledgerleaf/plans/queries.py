@@ -24,7 +24,7 @@ from ledgerleaf.operators import scoring as sc
 from ledgerleaf.operators import taxonomy as ta
 from ledgerleaf.operators import thresholds as th
 from ledgerleaf.plans.categorizer import Categorizer, CategorizerModel, calibration_pairs
-from ledgerleaf.plans.storage import new_path
+from ledgerleaf.plans.storage import materialise, new_path
 from ledgerleaf.sources import readers, writers
 from ledgerleaf.sources.statements import LABELS, load, spread, statements
 from ledgerleaf.streaming import scoring as st
@@ -276,7 +276,7 @@ def word_ngrams(spark, d):
 
 @query
 def char_ngrams(spark, d):
-    return _gram_counts(spark, d, lambda t: tx.prefixed(tx.char_ngrams(t), tx.CHAR_PREFIX))
+    return ft.char_gram_totals(docs(spark, d).select(tx.tokens(F.col("text")).alias("toks")), NB)
 
 
 @query
@@ -382,8 +382,19 @@ def tfidf_union(spark, d):
 def tfidf_transform(spark, d):
     """Vocabulary of the training lines, applied to every line."""
     source = lines(spark, d)
-    vocab = ft.fit_vocabulary(source.where(F.col("split") == "train"), NB)
-    return _per_branch(ft.tfidf(ft.term_freq(ft.keyed(source, "row_id", "text"), NB), vocab, NB), source)
+    vocab = materialise(ft.fit_vocabulary(source.where(F.col("split") == "train"), NB))
+    n_words = vocab.where(F.col("term").startswith(tx.WORD_PREFIX)).count()
+    vectors = ft.vectorize(source.select("row_id", "text"), vocab, NB)
+    branches = {"w": lambda x: x["indices"] < n_words, "c": lambda x: x["indices"] >= n_words}
+    add = lambda e, power: F.aggregate(e, F.lit(0.0), lambda a, x: a + (x["values"] if power == 1 else x["values"] * x["values"]))
+    per_branch = []
+    for name, inside in branches.items():
+        own = F.col(f"e_{name}")
+        vectors = vectors.withColumn(f"e_{name}", F.filter(F.arrays_zip("features.indices", "features.values"), inside))
+        per_branch.append(F.struct(
+            F.lit(name).alias("branch"), F.size(own).cast("long").alias("n_terms"), F.round(add(own, 1), R).alias("l1"),
+            F.round(add(own, 2), R).alias("l2"), F.round(F.coalesce(F.array_max(F.transform(own, lambda x: x["values"])), F.lit(0.0)), R).alias("peak")))
+    return vectors.select("row_id", F.inline(F.array(*per_branch)))
 
 
 # ---- labels, counts, samples -----------------------------------------------------------
@@ -576,6 +587,27 @@ def coarse_ovr(spark, d):
         lines(spark, d).where(F.col("split") == "train"), label="category_id")))
 
 
+@query
+def coarse_sgd(spark, d):
+    """The router of mini-batch descent on all lines."""
+    cfg = CategorizerConfig(coarse_trainer="sgd", fine_trainer="nb")
+    return _router_facts(spark, d, _once(spark, d, "sgd", lambda: Categorizer(cfg).fit(
+        lines(spark, d).where(F.col("split") == "train"), label="category_id")))
+
+
+#: A fit counts as finished when its gradient is below this share of the gradient before it; the loose coarse tolerance ends there.
+GRADIENT_SHARE = 0.05
+
+
+@query
+def fit_certificate(spark, d):
+    """Every logistic head of the full model: training rows per class, its share of the weighted probabilities, which balanced
+    weights make equal at the optimum, and whether the gradient over all rows is near zero."""
+    facts = full_model(spark, d).certificate()
+    return facts.select("bucket", "cls", "n_rows", F.round("mass", 2).alias("mass"),
+                        (F.col("gradient") <= GRADIENT_SHARE * F.col("start")).alias("stationary"))
+
+
 @query
 def fine_ensemble(spark, d):
     """The Bayes half of every bucket, and whether the bucket's answer is 0.7 of the other half and 0.3 of this one."""
@@ -679,6 +711,21 @@ def taxonomy_rollup(spark, d):
         "amount", F.col("amount").cast("double"))
 
 
+@query
+def hierarchy_rollup(spark, d):
+    """Orders below every customer, nation, region and the whole, by the closure of a hierarchy of five levels."""
+    name = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    steps = [("orders", name("order", "o_orderkey"), name("customer", "o_custkey")),
+             ("customer", name("customer", "c_custkey"), name("nation", "c_nationkey")),
+             ("nation", name("nation", "n_nationkey"), name("region", "n_regionkey")),
+             ("region", name("region", "r_regionkey"), F.lit("all"))]
+    edges = [load(spark, d, table).select(node.alias("node"), parent.alias("parent")) for table, node, parent in steps]
+    paths = ta.closure(edges[0].unionByName(edges[1]).unionByName(edges[2]).unionByName(edges[3]))
+    facts = load(spark, d, "orders").select(name("order", "o_orderkey").alias("node"), F.round("o_totalprice", 2).cast("decimal(18,2)").alias("amount"))
+    return ta.rollup(facts, "node", paths, "amount").where("not ancestor like 'order:%'").select(
+        "ancestor", "total_rows", F.col("amount").cast("double").alias("amount"), "depth")
+
+
 @query
 def dq_dates(spark, d):
     return dq.date_rules(statements(spark, d)).select("row_id", "post_gap_days", "posted_early", "posted_late")
@@ -689,6 +736,12 @@ def dq_amount(spark, d):
     return dq.amount_rules(statements(spark, d)).select("row_id", "low", "high", "out_of_range", "tiny")
 
 
+@query
+def dq_amount_bands(spark, d):
+    """The band of each amount, from a table of limits by a range join."""
+    return dq.amount_bands(statements(spark, d), dq.limit_bands(spark)).select("row_id", "category_id", "band", "low", "high")
+
+
 @query
 def dq_channel(spark, d):
     return dq.channel_rules(statements(spark, d)).select("row_id", "category_id", "channel", "odd_channel")
@@ -750,7 +803,7 @@ def stream_scored_output(spark, d):
 
 @query
 def stream_totals(spark, d):
-    return spark.read.parquet(_once(spark, d, "stream", lambda: _stream_run(spark, d))[1])
+    return st.read_published(spark, _once(spark, d, "stream", lambda: _stream_run(spark, d))[1])
 
 
 # ---- flagship ---------------------------------------------------------------------------

@@ -193,6 +193,9 @@ CTES: dict[str, tuple[list[str], str]] = {
                       f"{coarse_case('category_id')} AS coarse FROM tx"),
     "train": (["lines"], "SELECT * FROM lines WHERE split = 'train'"),
     "docs": ([], "SELECT doc_id AS row_id, text FROM documents"),
+    "o": ([], """
+        SELECT round(o_totalprice, 2)::DECIMAL(18, 2) AS amount, 'customer:' || o_custkey AS c, 'nation:' || c_nationkey AS n, 'region:' || n_regionkey AS r
+        FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"""),
     "tax": ([], TAX),
     "toks_lines": (["lines"], f"SELECT row_id, {tokens('text')} AS toks FROM lines"),
     "toks_docs": (["docs"], f"SELECT row_id, {tokens('text')} AS toks FROM docs"),
@@ -419,6 +422,12 @@ ORACLES: dict[str, tuple[list[str], str]] = {
     # trained models: what must hold for every row whatever the last digits of the optimiser
     "coarse_lr": (["lines"], TRAINED),
     "coarse_ovr": (["lines"], TRAINED),
+    "coarse_sgd": (["lines"], TRAINED),
+    "fit_certificate": (["train"], """
+        SELECT bucket, cls, count(*) AS n_rows, round(1e0 / count(*) OVER (PARTITION BY bucket), 2) AS mass, TRUE AS stationary
+        FROM (SELECT '' AS bucket, coarse AS cls FROM train WHERE category_id IS NOT NULL
+              UNION ALL SELECT coarse, category_id FROM train WHERE category_id IS NOT NULL)
+        GROUP BY bucket, cls QUALIFY count(*) OVER (PARTITION BY bucket) > 1"""),
     "score_full": (["lines"], TRAINED),
     "fine_ensemble": (["proba"], "SELECT row_id, head AS bucket, cls, p AS nb_p, TRUE AS mixed FROM proba WHERE head <> ''"),
     "label_union": (["tx"], "SELECT DISTINCT category_id AS label FROM tx"),
@@ -486,6 +495,15 @@ ORACLES: dict[str, tuple[list[str], str]] = {
         count(*) AS total_rows, sum(amount)::DOUBLE AS amount FROM tx JOIN tax c ON c.id = category_id LEFT JOIN tax p ON p.id = c.parent_id GROUP BY ALL"""),
     "dq_dates": (["dq"], "SELECT row_id, gap::INT AS post_gap_days, gap < 0 AS posted_early, gap >= 7 AS posted_late FROM dq"),
     "dq_amount": (["dq"], "SELECT row_id, low::INT AS low, high::INT AS high, amount < low OR amount > high AS out_of_range, amount <= 25 AS tiny FROM dq"),
+    "dq_amount_bands": (["dq"], """
+        SELECT row_id, category_id, band, b.low::BIGINT AS low, b.high::BIGINT AS high FROM dq LEFT JOIN LATERAL (
+          SELECT * FROM (VALUES ('under', NULL, dq.low), ('lower', dq.low, (dq.low + dq.high) // 2), ('upper', (dq.low + dq.high) // 2, dq.high),
+                                ('over', dq.high, NULL)) x(band, low, high)
+          WHERE (x.low IS NULL OR amount >= x.low) AND (x.high IS NULL OR amount < x.high)) b ON TRUE"""),
+    "hierarchy_rollup": (["o"], """
+        SELECT ancestor, count(*) AS total_rows, sum(amount)::DOUBLE AS amount, max(depth)::INT AS depth FROM (
+          SELECT c AS ancestor, amount, 1 AS depth FROM o UNION ALL SELECT n, amount, 2 FROM o UNION ALL SELECT r, amount, 3 FROM o
+          UNION ALL SELECT 'all', amount, 4 FROM o) GROUP BY ancestor"""),
     "dq_channel": (["dq"], "SELECT row_id, category_id, channel, odd_channel FROM dq"),
     "dq_missing": (["tx"], "SELECT category_id, " + ", ".join(f"count(*) FILTER (trim(coalesce({c}, '')) = '') AS missing_{c}" for c in ("merchant_name", "city", "reference", "keyword_hit")) + " FROM tx GROUP BY 1"),
     "dq_currency": (["tx"], "SELECT row_id, currency FROM tx WHERE currency <> 'INR'"),

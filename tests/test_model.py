@@ -19,12 +19,11 @@ def test_closed_form_equals_library_naive_bayes(spark, sf_dir):
     cfg = CategorizerConfig()
     rows = q.lines(spark, sf_dir).where("channel = 'CARD'").select("row_id", "text", F.col("true_label").alias("label"))
     names = sorted(r["label"] for r in rows.select("label").distinct().collect())
-    tf = ft.term_freq(ft.keyed(rows, "row_id", "text", "label"), cfg, carry=("label",))
-    vocab = ft.with_idf(ft.vocabulary(ft.doc_freq(tf), cfg), ft.row_count(rows))
-    values = ft.tfidf(tf, vocab, cfg)
-    n = vocab.count()
-    own = nb.complement_weights(nb.class_sums(values, "label", names), [[[i] for i in range(len(names))]], 0.5).collect()
-    table = ln._indexed(ln.vector_table(values, rows, n, columns=("label",)), "label", names)
+    vocab = ft.fit_vocabulary(rows, cfg)
+    vectors = ln.Vectors(ft.vectorize(rows, vocab, cfg), names, vocab.count(), columns=("row_id", "label"), bucket="label")
+    sums = nb.class_sums(vectors.values("label"), "label", names)
+    own = nb.complement_weights(sums, [[[i] for i in range(len(names))]], 0.5).collect()
+    table = ln._indexed(vectors.vectors(), "label", names)
     theta = NaiveBayes(modelType="complement", smoothing=0.5, labelCol="__y").fit(table).theta.toArray()
     mine = np.zeros_like(theta)
     for r in own:
@@ -32,6 +31,17 @@ def test_closed_form_equals_library_naive_bayes(spark, sf_dir):
     np.testing.assert_allclose(np.abs(theta), mine, rtol=1e-9)
 
 
+def test_vectors_do_not_depend_on_the_vocabulary_size_limit(spark, sf_dir):
+    cfg = CategorizerConfig()
+    rows = q.lines(spark, sf_dir).select("row_id", "text")
+    vocab = ft.fit_vocabulary(rows, cfg)
+    held, joined = (dict(ft.vectorize(rows, vocab, cfg, limit=n).select("row_id", "features").collect()) for n in (1 << 28, 0))
+    assert held.keys() == joined.keys() and len(held) == rows.count()
+    for k, v in held.items():
+        assert list(v["indices"]) == list(joined[k]["indices"])
+        np.testing.assert_allclose(v["values"], joined[k]["values"], rtol=1e-12)
+
+
 @pytest.fixture(scope="module")
 def model(spark, sf_dir):
     return q.nb_model(spark, sf_dir)

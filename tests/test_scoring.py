@@ -7,12 +7,15 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from ledgerleaf.config import CategorizerConfig
+from ledgerleaf.operators import features as ft
 from ledgerleaf.operators import labels as lb
 from ledgerleaf.operators import linear as ln
 from ledgerleaf.operators import reports as rp
+from ledgerleaf.operators import scoring as sc
 from ledgerleaf.operators import thresholds as th
 from ledgerleaf.plans import jobs
 from ledgerleaf.plans import queries as q
+from ledgerleaf.plans.categorizer import CategorizerModel
 from ledgerleaf.sources import readers, writers
 from ledgerleaf.streaming import scoring as st
 
@@ -38,13 +41,17 @@ def test_scoring_has_no_exchange_and_one_scan(spark, sf_dir, model, explain):
     assert "Exchange" not in plan and plan.count("FileScan") == 1
 
 
-def test_joined_scores_equal_row_scores(spark, sf_dir, model):
-    from ledgerleaf.operators import scoring as sc
-    rows = q.lines(spark, sf_dir).select("row_id", "text").limit(200)
-    own = {r["row_id"]: r["scores"] for r in sc.linear_scores(rows, model.table, model.width, model.cfg).collect()}
-    joined = {r["row_id"]: r["scores"] for r in sc.joined_scores(rows, model.terms, model.width, model.cfg).collect()}
-    for key, scores in own.items():
-        np.testing.assert_allclose(scores, joined.get(key, [0.0] * model.width), atol=1e-9)
+def test_a_model_of_several_blocks_answers_like_one_block(spark, sf_dir, model, monkeypatch):
+    rows = q.lines(spark, sf_dir).select("row_id", "text").unionByName(
+        spark.createDataFrame([(-1, None), (-2, ""), (-2, "nothing known zzzzqqqq")], "row_id long, text string"))
+    whole = model.transform(rows, explain=True, low_conf=1.0, details=True).collect()
+    monkeypatch.setattr(sc, "MODEL_LIMIT_BYTES", (ft.TERM_BYTES + 8 * model.width) * (model.terms.count() // 5 + 1))
+    split = CategorizerModel(model.cfg, model.terms, model.heads, model.buckets, model.coarse_thresholds)
+    assert len(split.ranges) == 5 and split.table is None
+    assert sorted(map(str, split.transform(rows, explain=True, low_conf=1.0, details=True).collect())) == sorted(map(str, whole))
+    assert sum(r["explanation"] is not None for r in whole) > 100
+    monkeypatch.setattr(ft.vectorize, "__kwdefaults__", ft.vectorize.__kwdefaults__ | {"limit": 0})  # not even the terms' names
+    assert sorted(map(str, split.transform(rows, explain=True, low_conf=1.0, details=True).collect())) == sorted(map(str, whole))
 
 
 def test_quoted_line_break_is_one_row_in_batch_and_stream(spark, model, tmp_path):
