@@ -114,26 +114,6 @@ def reference_id(channel: Column, key: Column) -> Column:
     )
 
 
-def compose_narrative(channel: Column, **fields: Column) -> Column:
-    """Fill the channel's statement format; null fields read as empty text."""
-    def fill(fmt: str) -> Column:
-        pieces = []
-        for chunk in fmt.replace("{", "\0{").replace("}", "}\0").split("\0"):
-            if not chunk:
-                continue
-            if chunk.startswith("{"):
-                name = chunk[1:-1]
-                value = F.coalesce(fields[name.lower()], F.lit(""))
-                pieces.append(F.upper(value) if name.isupper() else value)
-            else:
-                pieces.append(F.lit(chunk))
-        return F.concat(*pieces)
-
-    return _by_channel(
-        channel, {c: fill(f) for c, f in fv.NARRATIVE_FORMATS.items()}, fill(fv.NARRATIVE_FORMAT_OTHER)
-    )
-
-
 def extract_reference(text: Column) -> dict[str, Column]:
     """Reference id, channel, payment handle, bank and card network of a line."""
     upper = F.upper(F.coalesce(text, F.lit("")))
@@ -153,7 +133,7 @@ def extract_reference(text: Column) -> dict[str, Column]:
     }
 
 
-# ---- deterministic augmentation ---------------------------------------------
+# ---- deterministic variants -------------------------------------------------
 
 def draw(key: Column, salt: str) -> Column:
     """Uniform number in [0, 1) taken from the first 32 bits of an md5."""
@@ -161,29 +141,22 @@ def draw(key: Column, salt: str) -> Column:
     return F.conv(head, 16, 10).cast("double") / F.lit(float(2 ** 32))
 
 
-def glitch(text: Column, key: Column) -> Column:
-    """Case change, doubled blanks or one replaced character, drawn from the key."""
-    case_draw = draw(key, "case")
-    out = F.when(case_draw < 0.25, F.upper(text)).when(case_draw < 0.50, F.lower(text)).otherwise(text)
-    out = F.when(draw(key, "blank") < 0.20, F.replace(out, F.lit(" "), F.lit("  "))).otherwise(out)
-    # 1-based position between the second and the last but one character
-    position = (F.floor(draw(key, "position") * (F.length(out) - 2)) + 2).cast("int")
-    letter = F.substring(F.lit("qxz"), (F.floor(draw(key, "letter") * 3) + 1).cast("int"), F.lit(1))
-    swapped = F.concat(
-        F.substring(out, F.lit(1), position - 1), letter, F.substring(out, position + 1, F.length(out))
-    )
-    return F.when((draw(key, "swap") < 0.10) & (F.length(out) > 6), swapped).otherwise(out)
+def place(key: Column, salt: str, n: Column) -> Column:
+    """One of the places 1 to n, drawn from the key."""
+    return (F.floor(draw(key, salt) * n) + 1).cast("int")
 
 
-def toggle_case(text: Column, key: Column) -> Column:
-    """Re-case every third character and widen single blanks, drawn from the key."""
-    bits = F.md5(F.concat(key.cast("string"), F.lit(":toggle")))
+def swapped_words(text: Column, key: Column) -> Column:
+    """Two neighbouring words change places; a text of one word stays."""
+    words = F.split(text, " ")
+    n = F.size(words)
+    at = place(key, "words", n - 1)
+    mixed = F.concat(F.slice(words, F.lit(1), at - 1), F.array(F.get(words, at), F.get(words, at - 1)),
+                     F.slice(words, at + 2, F.greatest(n - at - 1, F.lit(0))))
+    return F.when(n > 1, F.array_join(mixed, " ")).otherwise(text)
 
-    def one(ch, i):
-        upper = F.substring(bits, (F.floor(i / 3) % 32 + 1).cast("int"), F.lit(1)) >= F.lit("8")
-        return F.when((i % 3 == 0) & ch.rlike("[a-zA-Z]"), F.when(upper, F.upper(ch)).otherwise(F.lower(ch))
-                      ).otherwise(ch)
 
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    recased = F.array_join(F.transform(chars, one), "")
-    return F.regexp_replace(recased, r"(?<!\s)(\s)(?!\s)", "$1 ")
+def dropped_letter(text: Column, key: Column) -> Column:
+    """One character goes; the empty text stays."""
+    at = place(key, "letter", F.length(text))
+    return F.concat(F.substring(text, F.lit(1), at - 1), F.substring(text, at + 1, F.length(text)))

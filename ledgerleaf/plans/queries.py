@@ -319,8 +319,8 @@ def reference_extract(spark, d):
 @query
 def augment_text(spark, d):
     return statements(spark, d).select(
-        "row_id", tx.glitch(F.col("narrative"), F.col("row_id")).alias("glitched"),
-        tx.toggle_case(F.col("narrative"), F.col("row_id")).alias("toggled"))
+        "row_id", tx.swapped_words(F.col("narrative"), F.col("row_id")).alias("swapped"),
+        tx.dropped_letter(F.col("narrative"), F.col("row_id")).alias("dropped"))
 
 
 # ---- features -----------------------------------------------------------------------

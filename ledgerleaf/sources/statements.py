@@ -49,6 +49,15 @@ KEYWORDS = {
     "TRANSFER_SELF_INTERNAL": ["self", "own", "sweep"],
 }
 
+#: What else a line may name: a handle, a bank or a network, and a place (some are stop words, some are not).
+HANDLES = ["@home", "@shop", "@desk"]
+PAYERS = [x for three in zip(HANDLES, fv.BANK_CODES, fv.CARD_NETWORKS) for x in three]
+PLACES = ["Indore", "Pune", "Surat", "Agra", "Delhi", "Patna", "Nagpur"]
+ACCOUNTS = ["BASIC", "PLUS", "JOINT"]
+#: Every line is one of these orders of its parts.
+LAYOUTS = [("channel", "spelled", "keyword_hit", "payer", "reference"), ("reference", "payer", "city", "spelled", "keyword_hit"),
+           ("spelled", "city", "keyword_hit", "channel", "payer", "reference")]
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -69,6 +78,10 @@ def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+def _pick_column(columns: list[Column], index: Column) -> Column:
+    return F.element_at(F.array(*columns), (index + 1).cast("int"))
+
+
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One labelled statement line per order."""
     orders = spread(load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice"),
@@ -92,21 +105,17 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick([m for lab in LABELS for m in MERCHANTS[lab]], kind * 4 + cycle % 4).alias("merchant"),
         _pick([w for lab in LABELS for w in KEYWORDS[lab]], kind * 3 + F.floor(k / 64) % 3).alias("keyword_hit"),
         _pick(CHANNEL_CYCLE, cycle % 6).alias("channel"),
-        _pick(fv.CITIES, F.col("nation") % 10).alias("city"),
-        _pick(fv.ACCOUNT_TYPES, F.when(k % 10 < 6, 0).when(k % 10 < 8, 1).otherwise(2)).alias("account_type"),
+        _pick(PLACES, F.col("nation") % len(PLACES)).alias("city"),
+        _pick(PAYERS, F.floor(k / 5) % len(PAYERS)).alias("payer"),
+        _pick(ACCOUNTS, F.floor(k / 11) % 3).alias("account_type"),
     )
-    # the 'q' replaces the second character of the merchant
-    spelled = F.when(
-        k % 23 == 0, F.concat(F.substring("merchant", 1, 1), F.lit("q"), F.expr("substring(merchant, 3)"))
-    ).otherwise(F.col("merchant"))
+    # some merchants lack their last letter
+    spelled = F.when(k % 23 == 0, F.expr("left(merchant, length(merchant) - 1)")).otherwise(F.col("merchant"))
     with_ref = facts.withColumns({"reference": tx.reference_id(F.col("channel"), k), "spelled": spelled})
-    narrative = tx.compose_narrative(
-        F.col("channel"), merchant=F.col("spelled"), reference=F.col("reference"), keyword=F.col("keyword_hit"),
-        city=F.col("city"), handle=_pick(fv.UPI_HANDLES, k % 6), bank=_pick(fv.BANK_CODES, F.floor(k / 7) % 6),
-        network=_pick(fv.CARD_NETWORKS, F.floor(k / 5) % 4),
-    )
+    refund = F.when((F.col("true_label") == fv.REFUND_LABEL) & (k % 5 == 0), F.trim(F.lit(fv.REFUND_PREFIX)))
+    narrative = _pick_column([F.concat_ws(" ", refund, *parts) for parts in LAYOUTS], F.floor(k / 3) % len(LAYOUTS))
     line = F.col("line")
-    glitched = F.when(k % 19 == 0, F.replace(F.lower(line), F.lit(" "), F.lit("  "))).otherwise(line)
+    glitched = F.when(k % 19 == 0, F.replace(F.lower(line), F.lit(" "), F.lit(" / "))).otherwise(line)
     income = F.col("true_label").startswith("INCOME")
     return with_ref.withColumn("line", narrative).select(
         "row_id", "transaction_id", "value_date",

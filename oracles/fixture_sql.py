@@ -24,17 +24,11 @@ TX = f"""
     CASE WHEN (true_label LIKE 'INCOME%') <> (k % 61 = 0) THEN 'CR' ELSE 'DR' END AS dr_cr,
     CASE WHEN k % 59 = 0 THEN NULL WHEN k % 53 = 0 THEN '' ELSE merchant END AS merchant_name,
     reference,
-    CASE WHEN k % 31 = 0 THEN NULL WHEN k % 19 = 0 THEN replace(lower(line), ' ', '  ') ELSE line END AS narrative,
+    CASE WHEN k % 31 = 0 THEN NULL WHEN k % 19 = 0 THEN replace(lower(line), ' ', ' / ') ELSE line END AS narrative,
     channel, account_type, city, keyword_hit, category_id,
     display AS category_display_name, true_label
   FROM (
-    SELECT *, CASE channel
-        WHEN 'UPI' THEN 'UPI/' || reference || ' ' || spelled || handle || ' ' || keyword_hit || ' ' || upper(city)
-        WHEN 'POS' THEN 'POS ' || upper(city) || ' ' || upper(spelled) || ' REF ' || reference
-        WHEN 'CARD' THEN network || ' ' || upper(spelled) || ' ' || upper(city) || ' REF ' || reference
-        WHEN 'NETBANKING' THEN bank || ' NETBANK ' || spelled || ' ' || keyword_hit || ' ' || reference
-        WHEN 'NEFT' THEN 'NEFT ' || reference || ' ' || bank || ' CREDIT ' || spelled || ' ' || keyword_hit
-        ELSE 'AUTOPAY ' || spelled || ' ' || keyword_hit || ' REF ' || reference END AS line
+    SELECT *, LAYOUT_CASE AS line
     FROM (
       SELECT *, CASE channel WHEN 'UPI' THEN 'UPI' || lpad((k % 100000000)::VARCHAR, 8, '0')
           WHEN 'CARD' THEN 'CARD' || lpad((k % 1000000)::VARCHAR, 6, '0')
@@ -42,7 +36,7 @@ TX = f"""
           WHEN 'NETBANKING' THEN 'NB' || lpad((k % 10000000)::VARCHAR, 7, '0')
           WHEN 'NEFT' THEN 'NEFT' || lpad((k % 10000000)::VARCHAR, 7, '0')
           ELSE 'AUTO' || lpad((k % 1000000)::VARCHAR, 6, '0') END AS reference,
-        CASE WHEN k % 23 = 0 THEN left(merchant, 1) || 'q' || substr(merchant, 3) ELSE merchant END AS spelled,
+        CASE WHEN k % 23 = 0 THEN left(merchant, -1) ELSE merchant END AS spelled,
         display_names[label_no] AS display
       FROM (
         SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS value_date, round(o_totalprice, 2) AS price,
@@ -52,13 +46,13 @@ TX = f"""
           {MERCHANT_LIST}[(o_orderkey % 16) * 4 + (o_orderkey // 16) % 4 + 1] AS merchant,
           {KEYWORD_LIST}[(o_orderkey % 16) * 3 + (o_orderkey // 64) % 3 + 1] AS keyword_hit,
           {sql_list(st.CHANNEL_CYCLE)}[(o_orderkey // 16) % 6 + 1] AS channel,
-          {sql_list(fv.CITIES)}[c_nationkey % 10 + 1] AS city,
-          {sql_list(fv.UPI_HANDLES)}[o_orderkey % 6 + 1] AS handle,
-          {sql_list(fv.BANK_CODES)}[(o_orderkey // 7) % 6 + 1] AS bank,
-          {sql_list(fv.CARD_NETWORKS)}[(o_orderkey // 5) % 4 + 1] AS network,
-          CASE WHEN o_orderkey % 10 < 6 THEN 'SAVINGS' WHEN o_orderkey % 10 < 8 THEN 'CURRENT' ELSE 'CREDIT_CARD' END AS account_type,
+          {sql_list(st.PLACES)}[c_nationkey % {len(st.PLACES)} + 1] AS city,
+          {sql_list(st.PAYERS)}[(o_orderkey // 5) % {len(st.PAYERS)} + 1] AS payer,
+          {sql_list(st.ACCOUNTS)}[(o_orderkey // 11) % 3 + 1] AS account_type,
           DISPLAY_LIST AS display_names
         FROM orders JOIN customer ON o_custkey = c_custkey)))
 """
 _display = sql_list([" ".join(w.capitalize() for w in lab.lower().split("_")) for lab in st.LABELS])
-TX = TX.replace("DISPLAY_LIST", _display)
+_layouts = " ".join(f"WHEN {i} THEN concat_ws(' ', {', '.join(parts)})" for i, parts in enumerate(st.LAYOUTS))
+_refund = f"CASE WHEN true_label = {lit(fv.REFUND_LABEL)} AND k % 5 = 0 THEN {lit(fv.REFUND_PREFIX)} ELSE '' END"
+TX = TX.replace("DISPLAY_LIST", _display).replace("LAYOUT_CASE", f"{_refund} || CASE (k // 3) % {len(st.LAYOUTS)} {_layouts} END")

@@ -332,7 +332,6 @@ def branch_summary(value_sql: str) -> str:
 NOISE_SQL, CITY_SQL = (", ".join(lit(x) for x in v) for v in (fv.NOISE_TOKENS, fv.CITY_STOP))
 _IDS = "|".join(f"{p}[0-9]{{{n}}}" for p, n in [*fv.REFERENCE_FORMATS.values(), fv.REFERENCE_FORMAT_OTHER])
 _WEIGHTS = "CASE label " + " ".join(f"WHEN {lit(k)} THEN {v}" for k, v in fv.LABEL_WEIGHTS.items()) + " ELSE 0.03 END"
-_GLITCH_POS = f"(floor({draw('row_id', 'position')} * (length(b) - 2)) + 2)::INT"
 
 
 def by_split_total(name: str, p: str, r: str, f: str) -> str:
@@ -402,15 +401,11 @@ ORACLES: dict[str, tuple[list[str], str]] = {
         regexp_extract(u, '\\b({'|'.join(fv.CARD_NETWORKS)})\\b', 1) AS ext_network
         FROM (SELECT row_id, u, regexp_extract(u, '\\b({_IDS})\\b', 1) AS ext_reference FROM (SELECT row_id, upper(coalesce(narrative, '')) AS u FROM tx))"""),
     "augment_text": (["tx"], f"""SELECT row_id,
-        CASE WHEN {draw('row_id', 'swap')} < 0.10 AND length(b) > 6 THEN substr(b, 1, {_GLITCH_POS} - 1) ||
-          substr('qxz', (floor({draw('row_id', 'letter')} * 3) + 1)::INT, 1) || substr(b, {_GLITCH_POS} + 1) ELSE b END AS glitched,
-        array_to_string(list_transform(regexp_extract_all(array_to_string(list_transform(string_split(narrative, ''), lambda ch, i:
-          CASE WHEN (i - 1) % 3 = 0 AND regexp_matches(ch, '^[a-zA-Z]$') THEN
-            CASE WHEN substr(md5(row_id::VARCHAR || ':toggle'), (((i - 1) // 3) % 32 + 1)::INT, 1) >= '8' THEN upper(ch) ELSE lower(ch) END
-          ELSE ch END), ''), '\\s+|\\S+'), lambda x: CASE WHEN regexp_full_match(x, '\\s') THEN x || ' ' ELSE x END), '') AS toggled
-        FROM (SELECT *, CASE WHEN {draw('row_id', 'blank')} < 0.20 THEN replace(a, ' ', '  ') ELSE a END AS b FROM (
-          SELECT *, CASE WHEN {draw('row_id', 'case')} < 0.25 THEN upper(narrative) WHEN {draw('row_id', 'case')} < 0.50 THEN lower(narrative)
-            ELSE narrative END AS a FROM tx))"""),
+        CASE WHEN len(w) > 1 THEN array_to_string(list_concat(w[:i - 1], [w[i + 1], w[i]], w[i + 2:]), ' ') ELSE narrative END AS swapped,
+        left(narrative, j - 1) || substr(narrative, j + 1) AS dropped
+        FROM (SELECT row_id, narrative, w, floor({draw('row_id', 'words')} * (len(w) - 1))::INT + 1 AS i,
+                     floor({draw('row_id', 'letter')} * length(narrative))::INT + 1 AS j
+              FROM (SELECT row_id, narrative, string_split(narrative, ' ') AS w FROM tx))"""),
     "term_freq": (["tf_lines"], "SELECT * FROM tf_lines WHERE starts_with(term, 'w__')"),
     "doc_freq": (["stats_docs"], "SELECT term, df, total FROM stats_docs"),
     "vocabulary": (["vocab_docs"], "SELECT term, df, total, idx FROM vocab_docs"),

@@ -68,15 +68,29 @@ def test_shorten_and_parse(spark):
     assert one(spark, tx.parse_explanation(F.col("t")), "a:1; ;b:2;c;d;e;f") == ["a:1", "b:2", "c", "d", "e"]
 
 
-def test_extract_returns_what_compose_put_in(spark):
-    df = spark.createDataFrame([("UPI", 7), ("CARD", 123456), ("NEFT", 1), ("EMI", 42), ("ATM", 9)], "channel string, k long")
+def test_extract_finds_what_a_line_names(spark):
+    df = spark.createDataFrame([("UPI", 7, "@desk"), ("CARD", 123456, "VISA"), ("NEFT", 1, "HDFC"), ("EMI", 42, ""), ("ATM", 9, "")],
+                               "channel string, k long, payer string")
     ref = tx.reference_id(F.col("channel"), F.col("k"))
-    line = tx.compose_narrative(F.col("channel"), merchant=F.lit("Shop"), reference=ref, keyword=F.lit("tea"),
-                                city=F.lit("Pune"), handle=F.lit("@ybl"), bank=F.lit("HDFC"), network=F.lit("VISA"))
     found = tx.extract_reference(F.col("line"))
-    rows = df.withColumn("ref", ref).withColumn("line", line).select("channel", "ref", *[c.alias(n) for n, c in found.items()]).collect()
+    rows = df.withColumn("ref", ref).withColumn("line", F.concat_ws(" ", F.lit("Shop tea"), "payer", "ref", F.lit("Pune"))).select(
+        "channel", "ref", *[c.alias(n) for n, c in found.items()]).collect()
     for r in rows:
         assert r["ext_reference"] == r["ref"]
         assert r["ext_channel"] == (r["channel"] if r["channel"] != "ATM" else "OTHER")
     by = {r["channel"]: r for r in rows}
-    assert by["UPI"]["ext_handle"] == "@ybl" and by["CARD"]["ext_network"] == "VISA" and by["NEFT"]["ext_bank"] == "HDFC"
+    assert by["UPI"]["ext_handle"] == "@desk" and by["CARD"]["ext_network"] == "VISA" and by["NEFT"]["ext_bank"] == "HDFC"
+
+
+def test_variants_differ_in_one_place(spark):
+    text = F.col("t")
+    for i, t in enumerate(["a b c d", "one", "", None, "two words"]):
+        swapped = one(spark, tx.swapped_words(text, F.lit(i)), t)
+        dropped = one(spark, tx.dropped_letter(text, F.lit(i)), t)
+        if not t:
+            assert swapped == t and dropped == t
+            continue
+        words, mixed = t.split(" "), swapped.split(" ")
+        assert sorted(words) == sorted(mixed)
+        assert [x != y for x, y in zip(words, mixed, strict=True)].count(True) == (2 if len(words) > 1 else 0)
+        assert dropped in {t[:k] + t[k + 1:] for k in range(len(t))}
