@@ -14,6 +14,7 @@ Only DataFrame functions touch the rows.  The driver sees the counts of at most
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,10 @@ LABELERS = ("rule", "gazetteer", "context", "shape")
 SPAN = "struct<start:int,kind_no:int,end:int,base:boolean,rule:int,gazetteer:int,context:int,shape:int,size:int,loose:int>"
 
 
+#: Matches whose places are summed in one go; a sum copies what it has so far.
+CHUNK = 256
+
+
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
@@ -121,28 +126,54 @@ def _spans(text: Column, kind: str, loose: bool) -> Column:
             size.alias("size"), F.lit(int(loose)).alias("loose"))
         return F.struct((start + F.length(match)).alias("pos"), F.concat(state["out"], F.array(row.cast(SPAN))).alias("out"))
 
+    def chunk(z: Column, state: Column, number: Column) -> Column:
+        first = number * CHUNK + 1
+        spans = F.aggregate(
+            F.sequence(first, F.least(first + CHUNK - 1, F.size(z["found"]))), F.struct(state["pos"].alias("pos"), none.alias("out")),
+            lambda at, i: one(at, i, F.element_at(z["found"], i), F.element_at(z["between"], i)))
+        return _once(spans, lambda x: F.struct(x["pos"].alias("pos"), F.concat(state["out"], F.array(x["out"])).alias("out")))
+
     def walk(z: Column) -> Column:
-        found, between = z["found"], z["between"]
-        none = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
-        return F.when(F.size(found) > 0, F.aggregate(
-            F.sequence(F.lit(1), F.greatest(F.size(found), F.lit(1))), none,
-            lambda state, i: one(state, i, F.element_at(found, i), F.element_at(between, i)), lambda state: state["out"]))
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<array<{SPAN}>>").alias("out"))
+        chunks = F.sequence(F.lit(0), F.floor((F.size(z["found"]) - 1) / CHUNK).cast("int"))
+        return F.when(F.size(z["found"]) > 0, F.aggregate(
+            chunks, start, lambda state, number: chunk(z, state, number), lambda state: F.flatten(state["out"])))
 
+    none = F.array().cast(f"array<{SPAN}>")
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
     holds = (MAY_HOLD_LOOSE if loose else MAY_HOLD)[kind](text)
     return F.coalesce(F.when(holds, _once(both, walk)), F.array().cast(f"array<{SPAN}>"))
 
 
+def _mask(spans: Column) -> Column:
+    """A byte for each place up to the end of the last of ``spans`` (in order, apart): x inside those that passed their rule."""
+    def piece(span: Column, i: Column) -> Column:
+        gap = span["start"] - F.coalesce(F.get(spans, i - 1)["end"], F.lit(0))
+        return F.concat(F.repeat(F.lit("."), gap), F.repeat(F.when(span["base"], "x").otherwise("."), span["end"] - span["start"]))
+
+    return F.array_join(F.transform(spans, piece), "").cast("binary")
+
+
 def candidates(text: Column) -> Column:
-    """Candidates of all kinds; one that overlaps a span that passed its rule, but did not pass itself, is left out."""
-    strict = F.concat(*(_spans(text, kind, False) for kind in KINDS))
-    loose = F.concat(*(_spans(text, kind, True) for kind in LOOSE))
+    """Candidates of all kinds; one that overlaps a span that passed its rule, but did not pass itself, is left out.
+
+    The work grows with the text and its candidates: positions are summed chunk by chunk, and what overlaps is read
+    from a mask of the text for each kind.
+    """
+    strict = [_spans(text, kind, False).alias(kind) for kind in KINDS]
+    loose = F.concat(*(_spans(text, kind, True) for kind in LOOSE)).alias("loose")
+
+    def clear(z: Column) -> Column:
+        every = F.concat(*(z[kind] for kind in KINDS), z["loose"])
+        masks = F.struct(*(_mask(z[kind]).alias(kind) for kind in KINDS))
+
+        def covered(m: Column, s: Column) -> Column:
+            cut = lambda kind: F.substr(m[kind], s["start"] + 1, s["end"] - s["start"])
+            return reduce(Column.__or__, (F.contains(cut(kind), F.lit(b"x")) for kind in KINDS))
 
-    def clear(every: Column) -> Column:
-        base = F.filter(every, lambda s: s["base"])
-        return F.filter(every, lambda s: s["base"] | ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        return F.when(F.size(every) > 0, _once(masks, lambda m: F.filter(every, lambda s: s["base"] | ~covered(m, s)))).otherwise(every)
 
-    return _once(F.concat(strict, loose), lambda every: F.when(F.size(every) > 0, clear(every)).otherwise(every))
+    return _once(F.struct(*strict, loose), clear)
 
 
 # --- models: everything below works on counts of patterns ---------------------------------------------------------
