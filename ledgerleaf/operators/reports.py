@@ -14,10 +14,13 @@ def confusion_long(df: DataFrame, truth: str, pred: str, by: tuple = ()) -> Data
     return df.groupBy(*by, F.col(truth).alias("truth"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusion_wide(df: DataFrame, truth: str, pred: str, labels: list[str] | None = None) -> DataFrame:
-    """One row and one count column per label of either side, and per label of ``labels``."""
+def confusion_wide(df: DataFrame, truth: str, pred: str, labels: list[str] | None = None, max_labels: int = 1_000) -> DataFrame:
+    """One row and one count column per label of either side, and per label of ``labels``; more than ``max_labels`` are an error."""
     sides = df.select(F.explode(F.array(truth, pred)).alias("label")).where("label is not null").distinct()
-    labels = sorted({*(labels or []), *(r["label"] for r in sides.collect())})    # as many as the taxonomy
+    found = sides.limit(max_labels + 1).collect()
+    if len(found) > max_labels:
+        raise ValueError(f"more than {max_labels} distinct labels; are the columns right?")
+    labels = sorted({*(labels or []), *(r["label"] for r in found)})
     wide = confusion_long(df, truth, pred).groupBy("truth").pivot("pred", labels).agg(F.sum("n"))
     axis = df.sparkSession.createDataFrame([(x,) for x in labels], "truth string")
     filled = [F.coalesce(F.col(f"`{x}`"), F.lit(0)).alias(x) for x in labels]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.operators import joins as jn
 from ledgerleaf.operators import quality as dq
+from ledgerleaf.operators import reports as rp
 from ledgerleaf.operators import taxonomy as ta
 from ledgerleaf.plans import queries as q
 from ledgerleaf.sources import readers, writers
@@ -117,3 +118,10 @@ def test_streams_report_progress(spark, sf_dir, tmp_path):
     done = spark.read.parquet(str(tmp_path / "out"))
     assert sum(n for _, n, _ in st.progress(run)) == rows.count()
     assert sum(n for *_, n in st.progress(run)) == done.where(F.col("needs_review")).count()
+
+
+def test_a_confusion_matrix_has_a_bound(spark):
+    rows = spark.range(50).select(F.col("id").cast("string").alias("truth"), F.lit("a").alias("pred"))
+    assert len(rp.confusion_wide(rows, "truth", "pred").columns) == 52
+    with pytest.raises(ValueError, match="distinct labels"):
+        rp.confusion_wide(rows, "truth", "pred", max_labels=20)
