@@ -144,14 +144,16 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sour
     ``weight_of`` maps a size to the inclusion weight, a whole number from 1 to 64.
 
     Null text has size 0; a null source is a source of its own.  Documents of size 0 add nothing to
-    any sum.  Rows that agree in id and source share a draw, so repeated rows are taken alike.
+    any sum.  Rows that agree in id and source share a draw, so repeated rows are taken alike; rows without an id do
+    if they agree in text and source.
     An empty table gives an empty table.  Other columns keep their names; one of the four added names
     that ``docs`` has already is replaced.
     """
     size = words(F.col(text_col))
     own = docs.drop("__size", "__source_size", "__target", "__copies").withColumns({
         "__size": size, "__key": source_key(F.col(source_col)),
-        "__draw": uniform(F.col(id_col), F.col(source_col), seed=seed)})
+        # a null part leaves the hash as it is
+        "__draw": uniform(F.col(id_col), F.col(source_col), F.when(F.col(id_col).isNull(), F.col(text_col)), seed=seed)})
     stats = materialise(own.select(F.col("__key").alias("key"), F.col("__size").alias("size"),
                                    F.col("__draw").alias("draw"), weight_of(F.col("__size")).alias("w")))
     targets = materialise(source_targets(stats, weights, share, max_copies))
