@@ -138,9 +138,12 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return F.when(head == 0, F.lit(0)).otherwise((head - 1) * step + below(F.element_at(groups, F.greatest(head, F.lit(1)))))
 
 
-def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id", bucket_rows: int = BUCKET_ROWS,
+              derived: dict[str, Column] | None = None) -> DataFrame:
     """``docs`` with __next_<column> of the next row in descending order of the id; the last row's next is the first.
 
+    ``derived`` are columns made from ``columns``; they are added, once for every row, and have a __next_ too.
+
     The ids alone give bounds of about ``bucket_rows`` rows.  A bucket also gets the first row of the following
     one, so each is ordered by itself and rows are shuffled once.  A null id comes last; rows that share an id follow
     each other by the hash of their columns.
@@ -160,16 +163,18 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id", bu
     value = F.struct("__tie", *(F.col(c) for c in columns))
     guests = keyed.drop("__bucket").join(F.broadcast(guests), "__id").groupBy("__id", "__bucket").agg(F.min(value).alias("x")) \
         .select("__bucket", F.lit(True).alias("__guest"), *(F.col(f"x.{c}").alias(c) for c in columns))
-    rows = keyed.withColumn("__guest", F.lit(False)).unionByName(guests, allowMissingColumns=True)
+    # derived columns come last, so that they are computed for the few guests and not for all rows these are chosen from
+    derived = derived or {}
+    rows = keyed.withColumn("__guest", F.lit(False)).withColumns(derived).unionByName(guests.withColumns(derived), allowMissingColumns=True)
     order = W.partitionBy("__bucket").orderBy("__guest", F.desc("__id"), "__tie")
-    rows = rows.withColumns({f"__next_{c}": F.lead(c).over(order) for c in columns})
+    rows = rows.withColumns({f"__next_{c}": F.lead(c).over(order) for c in [*columns, *derived]})
     return rows.where(~F.col("__guest")).drop("__guest", "__id", "__bucket", "__tie")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(docs.withColumn("sigs", signatures(F.col("text"), wide=True)), ["text", "sigs"])
+    rows = with_next(docs, ["text"], derived={"sigs": signatures(F.col("text"), wide=True)})
     n = F.length("text").cast("long")
     swap = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n.cast("int") - swap), F.substring("__next_text", F.lit(1), swap))
