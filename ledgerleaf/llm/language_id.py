@@ -5,7 +5,7 @@ the vectors of its letters, each permuted (rolled) by its distance from the end.
 n-grams, a language the bundle of the n-grams of all its documents.  The nearest language by cosine wins.
 
 Texts are lower-cased; what is no letter is a blank, and a run of blanks is one.  A batch is a count
-matrix of documents by n-grams, so bundling is one matrix product.  Learning adds whole numbers, so its
+matrix of documents by n-grams, so bundling is a matrix product, made for ``CELLS`` counts at a time.  Learning adds whole numbers, so its
 result does not depend on the partitioning; the profiles are languages x ``DIMENSIONS`` numbers.
 """
 
@@ -27,6 +27,7 @@ from ledgerleaf.llm.pretokens import LETTER, class_table
 DIMENSIONS, N = 1024, 3
 UNKNOWN = "und"
 SLAB_CHARS, SLAB_DOCS, BLOCK = 1_000_000, 256, 2_048
+CELLS = 4_000_000
 
 
 @lru_cache(8_192)
@@ -36,7 +37,7 @@ def letter_vector(point: int, dimensions: int) -> np.ndarray:
 
 
 class Slab:
-    """The n-grams of some texts: ``counts`` (texts x n-grams) and their vectors, block by block."""
+    """The n-grams of some texts, and their bundles by text or by group of texts."""
 
     def __init__(self, texts: list[str], n: int = N) -> None:
         joined = "".join(f" {t.lower()} " for t in texts)
@@ -60,20 +61,27 @@ class Slab:
         self.parts = [(grams // k**(n - 1 - i)) % k for i in range(n)]
         self.found, self.owner, self.grams, self.texts = found, owner[: len(key)][inside], len(grams), len(texts)
 
-    def counts(self, group: np.ndarray, groups: int, kind: type) -> np.ndarray:
-        return np.bincount(group[self.owner].astype(np.int64) * self.grams + self.found,
-                           minlength=groups * self.grams).reshape(groups, self.grams).astype(kind)
+    def bundle(self, group: np.ndarray, groups: int, dimensions: int, kind: type) -> np.ndarray:
+        """Sums of the n-grams' vectors, (groups x dimensions); ``group`` is that of each text.
 
-    def bundle(self, counts: np.ndarray, dimensions: int) -> np.ndarray:
+        Counts are dense for as many n-grams as fit ``CELLS``, so memory does not grow with groups x n-grams.
+        """
         letters = np.stack([letter_vector(int(p), dimensions) for p in self.points])
         n = len(self.parts)
         rolled = [np.roll(letters, n - 1 - i, axis=1) for i in range(n)]
-        out = np.zeros((len(counts), dimensions), counts.dtype)
-        for a in range(0, self.grams, BLOCK):
-            bound = rolled[0][self.parts[0][a: a + BLOCK]]
-            for i in range(1, n):
-                bound = bound * rolled[i][self.parts[i][a: a + BLOCK]]
-            out += counts[:, a: a + BLOCK] @ bound.astype(counts.dtype)
+        own = group[self.owner].astype(np.int64)
+        width = max(1, CELLS // max(groups, 1) // BLOCK) * BLOCK
+        out = np.zeros((groups, dimensions), kind)
+        for first in range(0, self.grams, width):
+            here = min(width, self.grams - first)
+            in_ = slice(None) if here == self.grams else (self.found >= first) & (self.found < first + here)
+            counts = np.bincount(own[in_] * here + (self.found[in_] - first), minlength=groups * here).reshape(groups, here)
+            for a in range(first, first + here, BLOCK):
+                b = min(a + BLOCK, first + here)
+                bound = rolled[0][self.parts[0][a:b]]
+                for i in range(1, n):
+                    bound = bound * rolled[i][self.parts[i][a:b]]
+                out += counts[:, a - first: b - first].astype(kind) @ bound.astype(kind)
         return out
 
 
@@ -97,7 +105,7 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
             for begin, texts in slabs(batch.column("text").to_pylist()):
                 slab = Slab(texts, n)
                 own, names = pd.factorize(np.array(langs[begin: begin + len(texts)], object))
-                bundles = slab.bundle(slab.counts(own, len(names), np.float64), dimensions)
+                bundles = slab.bundle(own, len(names), dimensions, np.float64)
                 for name, bundle in zip(names, bundles, strict=True):
                     sums[name] = sums.get(name, 0) + bundle.astype(np.int64)
             if len(sums) > 256:
@@ -143,7 +151,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, text_col: str =
                     scores += [0.0] * len(texts)
                     continue
                 slab = Slab(texts, n)
-                bundles = slab.bundle(slab.counts(np.arange(len(texts)), len(texts), np.float32), dimensions).astype(float)
+                bundles = slab.bundle(np.arange(len(texts)), len(texts), dimensions, np.float32).astype(float)
                 cosine = bundles @ unit.T / np.maximum(np.linalg.norm(bundles, axis=1), 1e-300)[:, None]
                 best = cosine.argmax(axis=1)
                 for i, has in enumerate(slab.lettered.tolist()):
