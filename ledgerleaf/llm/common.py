@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +11,24 @@ from ledgerleaf.plans.storage import new_path
 #: A word: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 200_000
+#: Schemes under which Spark writes, and Arrow's for the same store.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def arrow_uri(path: str) -> str:
+    """A path with Spark's name of an object store mapped to Arrow's."""
+    scheme, mark, rest = path.partition("://")
+    return f"{SCHEMES.get(scheme, scheme)}{mark}{rest}"
+
+
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(arrow_uri(path))
+
+
 def uniform(*parts: Column, seed: int) -> Column:
     """A draw from (0, 1) that depends on the values alone, so reruns and retried tasks agree."""
     bits = F.shiftrightunsigned(F.xxhash64(*parts, F.lit(seed)), 11)

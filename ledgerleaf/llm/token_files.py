@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm.bpe import PairIndexEncoder, byte_symbols, chunked, default_vocabulary
-from ledgerleaf.llm.common import read, uniform
+from ledgerleaf.llm.common import file_system, read, uniform
 from ledgerleaf.plans.storage import new_path
 
 MAGIC = b"LLTOKIDS"
@@ -112,7 +112,7 @@ def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
     bpe = library_encoder(content)
     dictionary = train_dictionary(docs, bpe, id_col="doc_id", text_col="text", end_id=end_id)
     digest = hashlib.sha256(dictionary).digest()
-    store, folder = fs.FileSystem.from_uri(path)
+    store, folder = file_system(path)
     store.create_dir(folder, recursive=True)
     with store.open_output_stream(f"{folder}/{digest.hex()}.dict") as out:
         out.write(dictionary)
@@ -139,7 +139,7 @@ def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
     width = id_type(bpe.size).itemsize
 
     def store_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = file_system(path)
         writer = None
         for batch in batches:
             shards = batch.column("shard").to_numpy()
@@ -228,7 +228,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     files = files.select("file", "begin").repartition(parts, "file")
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = file_system(path)
         for batch in batches:
             for file, begin in zip(batch.column("file").to_pylist(), batch.column("begin").to_pylist(), strict=True):
                 shard = ShardReader(store, folder, file)
@@ -252,7 +252,7 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFr
     shared = spark.sparkContext.broadcast(np.array(wanted, np.int64))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(path)
+        store, folder = file_system(path)
         for batch in batches:
             for file in batch.column("file").to_pylist():
                 shard = ShardReader(store, folder, file)

@@ -5,9 +5,10 @@ that the format wants as its line separator.  So the files are plain WARC 1.1, a
 system that Spark writes will do, and Spark's commit protocol covers lost executors.  Of equal payloads one
 record holds the payload, the others are ``revisit`` records that name it.
 
-Reading.  ``WarcSource`` plans one partition per group of files.  Predicates on record type, digest,
-address and payload size are pushed down and tested on the header; the payload of a record that fails them, or that
-nobody asked for (option ``payload``), is stepped over and never decoded.
+Reading.  ``WarcSource`` plans one partition per group of files.  Predicates on record type, digest, address and other
+headers are pushed down and tested on the header, those on payload size on the HTTP head behind it; the payload of a
+record that fails them, or that nobody asked for (option ``payload``), is stepped over and never decoded.  A record
+without a length, and one that its file ends within, is an error that names file and byte.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql.datasource import (
     StringStartsWith,
 )
 
-from ledgerleaf.llm.common import read, small
+from ledgerleaf.llm.common import file_system, read, small
 from ledgerleaf.operators.joins import join_skewed
 from ledgerleaf.plans.storage import new_path
 
@@ -122,18 +123,21 @@ class WarcReader(DataSourceReader):
     def __init__(self, path: str, payload: bool) -> None:
         self.path, self.payload = path, payload
         self.tests: list[tuple[str, type, object]] = []
+        self.sizes: list[tuple[type, object]] = []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
             column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
             if type(f) in TESTS and column in HEADERS:
                 self.tests.append((HEADERS[column], type(f), getattr(f, "value", None)))
+            elif type(f) in TESTS and column == "payload_bytes":
+                self.sizes.append((type(f), getattr(f, "value", None)))
             else:
                 yield f
 
     def partitions(self) -> list[Files]:
         """Files by name, several small ones together; a file is never split, as records have no sync mark."""
-        store, folder = fs.FileSystem.from_uri(self.path)
+        store, folder = file_system(self.path)
         found = store.get_file_info(fs.FileSelector(folder, recursive=True))
         out, held = [[]], 0
         for info in sorted((i for i in found if i.is_file and i.base_name[0] not in "._"), key=lambda i: i.path):
@@ -145,7 +149,7 @@ class WarcReader(DataSourceReader):
         return [Files(x) for x in out]
 
     def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
-        store, _ = fs.FileSystem.from_uri(self.path)
+        store, _ = file_system(self.path)
         rows, held = [], 0
         for file in partition.value:
             for row in self.records(store, file):
@@ -159,6 +163,7 @@ class WarcReader(DataSourceReader):
 
     def records(self, store: fs.FileSystem, file: str) -> Iterator[tuple]:
         raw = store.open_input_file(file)
+        end = raw.size()
         zipped = raw.read(2) == b"\x1f\x8b"
         raw.seek(0)
         data = io.BufferedReader(gzip.GzipFile(fileobj=raw) if zipped else raw, 1 << 20)
@@ -178,14 +183,21 @@ class WarcReader(DataSourceReader):
                 head[name.strip().lower()] = value.strip()
                 size += len(line)
             size += len(line)
+            if not head.get("content-length", "").isdigit():
+                raise ValueError(f"{file}, byte {begin}: a record without Content-Length")
             length = int(head["content-length"])
             at += size + length
             if all(name in head and TESTS[kind](_value(name, head[name]), x) for name, kind, x in self.tests):
-                yield self.row(data, head, length, file, begin)
+                row = self.row(data, head, length, file, begin)
             else:
-                data.seek(length, io.SEEK_CUR)
-
-    def row(self, data: io.BufferedReader, head: dict[str, str], length: int, file: str, begin: int) -> tuple:
+                row = data.seek(length, io.SEEK_CUR) and None
+            if (data.tell() if zipped else end) < at:
+                raise ValueError(f"{file}, byte {begin}: the file ends within this record")
+            if row:
+                yield row
+
+    def row(self, data: io.BufferedReader, head: dict[str, str], length: int, file: str, begin: int) -> tuple | None:
+        """The record, or None where its payload size fails a predicate; either way the whole record is passed."""
         left, payload, full = length, None, length
         if head.get("content-type", "").startswith("application/http"):
             while left > 0 and (line := data.readline(left)):
@@ -197,11 +209,12 @@ class WarcReader(DataSourceReader):
                     break
             if head.get("warc-type") != "revisit":
                 full = left
-        if self.payload and head.get("warc-type") != "revisit":
+        fits = all(TESTS[kind](full, x) for kind, x in self.sizes)
+        if fits and self.payload and head.get("warc-type") != "revisit":
             payload = data.read(left)
         else:
             data.seek(left, io.SEEK_CUR)
-        return (*(_value(h, head[h]) if h in head else None for h in HEADERS.values()), full, payload, file, begin)
+        return None if not fits else (*(_value(h, head[h]) if h in head else None for h in HEADERS.values()), full, payload, file, begin)
 
 
 def _value(name: str, text: str) -> str:
@@ -232,6 +245,7 @@ def read_warc(spark: SparkSession, path: str, *, payload: bool = True) -> DataFr
     """Records below ``path``.  Sets ``spark.sql.python.filterPushdown.enabled``, without which nothing is pushed down.
 
     ``payload`` is null for revisits and where it was not asked for; ``payload_bytes`` is that of the full payload.
+    Headers that a record lacks are null; a folder without archives gives an empty table.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
@@ -243,16 +257,17 @@ def page_id(urn: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written as archives and read back; digests of responses come from the payloads read."""
+    """Pages written as archives and read back by record type: payloads of responses, for their sizes and digests, and
+    headers alone of revisits."""
     path = new_path(spark, "warc")
     write_warc(read(spark, sf_dir, "pages"), path)
-    back = read_warc(spark, path)
-    held = F.col("payload").isNotNull()
-    return back.select(
-        page_id(F.col("record_id")).alias("page_id"),
-        F.when(held, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
-        F.when(held, base32_sha1(F.col("payload"))).otherwise(F.col("payload_digest")).alias("payload_digest"),
-        "record_type", F.when(F.col("record_type") == "revisit", page_id(F.col("refers_to"))).alias("refers_to"))
+    held = read_warc(spark, path).where("record_type = 'response'").select(
+        page_id(F.col("record_id")).alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"),
+        base32_sha1(F.col("payload")).alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
+    named = read_warc(spark, path, payload=False).where("record_type = 'revisit'").select(
+        page_id(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        page_id(F.col("refers_to")).alias("refers_to"))
+    return held.unionByName(named)
 
 
 QUERIES = {"op4_warc": query}
