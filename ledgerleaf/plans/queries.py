@@ -17,6 +17,7 @@ from ledgerleaf.functions import text as tx
 from ledgerleaf.operators import features as ft
 from ledgerleaf.operators import feedback as fb
 from ledgerleaf.operators import labels as lb
+from ledgerleaf.operators import patterns as pt
 from ledgerleaf.operators import quality as dq
 from ledgerleaf.operators import reports as rp
 from ledgerleaf.operators import sampling as sp
@@ -292,6 +293,18 @@ def lexicon_join(spark, d):
         F.col("h.bucket").alias("bucket")).agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("row_id").alias("n_lines"))
 
 
+@query
+def lexicon_table(spark, d):
+    """Lexicon, nations and merchants as one table of patterns, and how many lines each is found in."""
+    rows = [(b, p) for b, ps in fv.LEXICON.items() for p in ps]
+    names = load(spark, d, "nation").select(F.lit("nation").alias("bucket"), F.concat(F.lit("\\b"), "n_name", F.lit("\\b")).alias("pattern"))
+    merchants = statements(spark, d).where(F.col("merchant_name").rlike("^[A-Za-z0-9 ]+$")).select(
+        F.lit("merchant").alias("bucket"), F.lower("merchant_name").alias("pattern")).distinct()
+    table = spark.createDataFrame(rows, "bucket string, pattern string").unionByName(names).unionByName(merchants)
+    return pt.pattern_join(statements(spark, d), table, text_col="narrative").groupBy("bucket", "pattern").agg(
+        F.count(F.lit(1)).alias("n_lines"))
+
+
 @query
 def hard_override(spark, d):
     rule = lx.override_rule(F.col("narrative"))
@@ -527,13 +540,10 @@ def _pairs(spark, d, level):
 
 @query
 def threshold_search(spark, d):
-    """Newer rule: every coarse class over all lines, and document quality by length per language."""
-    coarse = th.threshold_search(_pairs(spark, d, "coarse"), ["level", "cls"])
-    p = F.round(F.least(F.col("n_chars") / 20_000.0, F.lit(1.0)), R)
-    quality = load(spark, d, "labels").join(load(spark, d, "documents"), "doc_id").select(
-        F.lit("quality").alias("level"), F.col("lang").alias("cls"), F.col("quality").alias("y"), p.alias("p"))
-    both = coarse.unionByName(th.threshold_search(quality, ["level", "cls"]))
-    return both.withColumns({"best_f1": F.round("best_f1", R), "threshold": F.round("threshold", R)})
+    """Newer rule: every coarse class over all lines, and every label over all lines of its bucket."""
+    both = _pairs(spark, d, "coarse").unionByName(_pairs(spark, d, "fine"))
+    return th.threshold_search(both, ["level", "bucket", "cls"]).withColumns(
+        {"best_f1": F.round("best_f1", R), "threshold": F.round("threshold", R)})
 
 
 @query
@@ -543,6 +553,15 @@ def threshold_search_v6(spark, d):
         {"best_f1": F.round("best_f1", R), "threshold": F.round("threshold", R)})
 
 
+@query
+def threshold_search_v6_fine(spark, d):
+    """Older rule with its floors: every label over all lines of its bucket."""
+    found = th.threshold_search(_pairs(spark, d, "fine"), ["bucket", "cls"], rule="v6")
+    degenerate = (F.col("positives") == 0) | (F.col("positives") == F.col("n"))
+    floored = th.apply_floors(found.where(~degenerate), "cls", fv.FINE_FLOORS_V6).unionByName(found.where(degenerate))
+    return floored.withColumns({"best_f1": F.round("best_f1", R), "threshold": F.round("threshold", R)})
+
+
 @query
 def score_nb(spark, d):
     return nb_model(spark, d).transform(lines(spark, d).select("row_id", "text", "true_label", "split"))

@@ -231,6 +231,7 @@ CTES: dict[str, tuple[list[str], str]] = {
         SELECT row_id, head, cls, round(e / sum(e) OVER (PARTITION BY row_id, head), 6) AS p
         FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY row_id, head)) AS e FROM scores)"""),
     "pairs": (["proba", "lines"], "SELECT row_id, cls, (cls = coarse)::INT AS y, p FROM proba JOIN lines USING (row_id) WHERE head = ''"),
+    "fine_pairs": (["proba", "lines"], "SELECT row_id, head, cls, (cls = category_id)::INT AS y, p FROM proba JOIN lines USING (row_id) WHERE head = coarse"),
     "cal_pairs": (["proba", "train"], """
         SELECT 'coarse' AS level, '' AS bucket, cls, (cls = coarse)::INT AS y, p FROM proba JOIN (
           SELECT *, row_number() OVER (ORDER BY md5(row_id::VARCHAR || ':42'), row_id) AS rn, count(*) OVER () AS n FROM train) USING (row_id)
@@ -389,6 +390,11 @@ ORACLES: dict[str, tuple[list[str], str]] = {
     "lexicon_join": (["tx"], "SELECT bucket, count(*) AS hits, count(DISTINCT row_id) AS n_lines FROM (" + " UNION ALL ".join(
         f"SELECT {lit(b)} AS bucket, row_id FROM tx WHERE {found('narrative', p)}" for b, pats in fv.LEXICON.items() for p in pats)
         + ") GROUP BY bucket"),
+    "lexicon_table": (["tx"], "SELECT bucket, pattern, count(*) AS n_lines FROM (" + " UNION ALL ".join([
+        *(f"SELECT {lit(b)} AS bucket, {lit(p)} AS pattern, row_id FROM tx WHERE {found(chr(34) + 'narrative' + chr(34), p)}" for b, ps in fv.LEXICON.items() for p in ps),
+        r"SELECT 'nation', '\b' || n_name || '\b', row_id FROM tx, nation WHERE regexp_matches(narrative, '(?i)(^|[^\p{L}\p{N}_])' || n_name || '([^\p{L}\p{N}_]|$)')",
+        r"SELECT 'merchant', m, row_id FROM tx, (SELECT DISTINCT lower(merchant_name) AS m FROM tx WHERE regexp_full_match(merchant_name, '[A-Za-z0-9 ]+')) "
+        "WHERE contains(lower(narrative), m)"]) + ") GROUP BY ALL"),
     "hard_override": (["tx"], f"SELECT row_id, category_id, rule, coalesce({RULE_LABEL}, category_id) AS label FROM "
                               f"(SELECT *, {rule_case(chr(108) + 'ower(coalesce(narrative, ' + chr(39) * 2 + '))')} AS rule FROM tx)"),
     "explain_parse": (["scored", "explained"], """SELECT row_id, len(parts)::INT AS n_parts, array_to_string(parts, '|') AS parts FROM (
@@ -460,9 +466,11 @@ ORACLES: dict[str, tuple[list[str], str]] = {
     "fine_decide": (["decided"], "SELECT row_id, coarse_label, fine_class, label_raw, rule, label, confidence FROM decided"),
     "threshold_floor": (["thr", "tx"], f"""SELECT level, bucket, cls, round(threshold, 6) AS threshold, n_rows FROM (
         SELECT level, bucket, cls, threshold FROM thr) LEFT JOIN (SELECT category_id AS cls, count(*) AS n_rows FROM tx GROUP BY 1) USING (cls)"""),
-    "threshold_search": (["pairs"], f"""SELECT level, cls, positives, n, round(best_f1, 6) AS best_f1, round(threshold, 6) AS threshold FROM (
-        {search("SELECT 'coarse' AS level, * FROM pairs", 'level, cls')} UNION ALL
-        {search("SELECT 'quality' AS level, lang AS cls, quality AS y, round(least(n_chars / 20000.0e0, 1.0e0), 6) AS p FROM labels JOIN documents USING (doc_id)", 'level, cls')})"""),
+    "threshold_search": (["pairs", "fine_pairs"], f"""SELECT level, bucket, cls, positives, n, round(best_f1, 6) AS best_f1, round(threshold, 6) AS threshold FROM (
+        {search("SELECT 'coarse' AS level, '' AS bucket, cls, y, p FROM pairs UNION ALL SELECT 'fine', head, cls, y, p FROM fine_pairs", 'level, bucket, cls')})"""),
+    "threshold_search_v6_fine": (["fine_pairs"], f"""SELECT bucket, cls, positives, n, round(best_f1, 6) AS best_f1,
+        round(CASE WHEN positives = 0 OR positives = n THEN threshold ELSE greatest(threshold, {floor_case('cls', fv.FINE_FLOORS_V6)}) END, 6) AS threshold
+        FROM ({search('SELECT head AS bucket, cls, y, p FROM fine_pairs', 'bucket, cls', 'v6')})"""),
     "threshold_search_v6": (["pairs"], f"""SELECT cls, positives, n, round(best_f1, 6) AS best_f1,
         round(greatest(threshold, {floor_case('cls', fv.COARSE_FLOORS)}), 6) AS threshold FROM ({search('SELECT * FROM pairs', 'cls', 'v6')})"""),
     "explain_topk": (["explained"], "SELECT row_id, explanation FROM explained"),
