@@ -50,7 +50,8 @@ def label(rows: DataFrame, found: DataFrame | None) -> DataFrame:
     return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
-def link_lists(lists: DataFrame, able: Column, verify, first: list[str], pivots: int = 0) -> DataFrame | None:
+def link_lists(lists: DataFrame, able: Column, verify, first: list[str], pivots: int = 0,
+               known: DataFrame | None = None) -> DataFrame | None:
     """Components of the rows that meet in ``lists``; None if nothing is linked.
 
     ``lists`` has (key, id, component-free columns).  ``able`` is a condition on two rows a and b of a list,
@@ -65,9 +66,11 @@ def link_lists(lists: DataFrame, able: Column, verify, first: list[str], pivots:
     With ``pivots``, up to so many rounds choose the head anew, by hash; it meets every row of the other components in its
     list, without a join, and one pair for each of them is verified.  Groups whose members resemble their
     neighbours more than any one head then come together before the last round.
+
+    ``known`` are links (a, b) found elsewhere; they count from the first round on.
     """
-    links: DataFrame | None = None
-    found: DataFrame | None = None
+    links = None if known is None or known.isEmpty() else known
+    found = None if links is None else components(links)
     columns = [c for c in lists.columns if c not in ("key", "id")]
     order, whole = F.struct(*first, "id"), W.partitionBy("key")
     left: Stored | None = None
