@@ -5,11 +5,14 @@ turn is written as ``### role: text</turn>``.  The control strings ``###`` and `
 text: a backslash becomes ``\\e``, ``###`` becomes ``\\h``, ``</turn>`` becomes ``\\c``, and in a role a colon becomes
 ``\\d``.  Every backslash is thus followed by one of four letters, and the way back is exact.
 
-All prefixes of a conversation together grow with the square of its length.  So a conversation is cut into pages of
-``page_chars`` characters and ``page_turns`` turns (a turn belongs to the page it begins in).  An example holds its own
-page from the start; what stands before is in the rows of earlier pages that are marked ``whole``, and ``from_turn`` says
-where its text begins.  A conversation of one page, that is nearly every one, has whole prefixes.  No row is longer than
-a page and a turn, no task holds more than pages, and what is written grows with the rows.
+All prefixes of a conversation together grow with the square of its length, and are written whole.  So that no row grows
+with the conversation, a prefix beyond a page (``PAGE_CHARS`` characters and ``PAGE_TURNS`` turns; a turn belongs to the
+page it begins in) takes several rows: one for each earlier page, and the one that holds the target.  ``from_turn`` says
+where the text of a row begins; the texts of an example in its order are the prefix.  A conversation of one page, that is
+nearly every one, has one row an example.
+
+With limits given, an example holds its own page alone, from the start; what stands before is then only in the rows of
+earlier pages that are marked ``whole``.
 
 Only DataFrame functions are used.
 """
@@ -43,7 +46,7 @@ def unescape(text: Column, pairs: list[tuple[str, str]] = ESCAPES) -> Column:
 
 
 def examples(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
-             text_col: str = "text", page_chars: int = PAGE_CHARS, page_turns: int = PAGE_TURNS) -> tuple[DataFrame, Stored]:
+             text_col: str = "text", page_chars: int | None = None, page_turns: int | None = None) -> tuple[DataFrame, Stored]:
     """(id, from_turn, turn, text, loss_start, loss_end, whole) of a table of turns, and the table it is read from.
 
     ``turn`` numbers the turns of a conversation from 0 in the order of ``turn_col``, null first; rows that share a turn
@@ -52,7 +55,13 @@ def examples(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn"
     points of ``text``.  A page that does not end with an assistant turn has one more example, with nothing under the mask
     (both are null), so no turn is lost.  ``whole`` marks the last example of each page.  Other columns do not pass;
     an empty table has no examples.
+
+    Without limits every example has its whole prefix: rows of an earlier ``from_turn`` hold the pages before its own, with
+    nothing under the mask.  Then ``whole`` marks the rows of a conversation's last example, and only the conversation, not
+    each page, has one more example when it does not end with an assistant turn.
     """
+    prefixes = page_chars is None and page_turns is None
+    page_chars, page_turns = page_chars or PAGE_CHARS, page_turns or PAGE_TURNS
     role, text = (F.coalesce(c, F.lit("")) for c in (role_col, text_col))
     written = escape(text)
     turns = rows.select(
@@ -67,6 +76,11 @@ def examples(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn"
     pages = pages.select("id", F.array_join("turns.segment", "").alias("page"), F.col("turns")[0]["idx"].alias("from_turn"),
                          F.col("turns")[0]["at"].alias("begin"), F.element_at("turns", -1)["idx"].alias("last"),
                          F.transform("turns", lambda x: F.struct(x["idx"], x["at"], x["size"], x["reply"])).alias("turns"))
+    if prefixes:  # conversations of several pages are few
+        longer = placed.where((F.col("start") >= page_chars) | (F.col("idx") >= page_turns)).select(F.col("id").alias("__id"), "idx") \
+            .groupBy("__id").agg(F.max("idx").alias("__end"))
+        pages = pages.join(longer, F.col("id").eqNullSafe(F.col("__id")), "left") \
+            .withColumn("last", F.coalesce("__end", "last")).drop("__id", "__end")
     ends = F.filter("turns", lambda x: x["reply"].isNotNull() | (x["idx"] == F.col("last")))
     each = pages.select("id", "from_turn", "page", "begin", "last", F.explode(ends).alias("x"))
     end = F.col("x.at") + F.col("x.size") - F.col("begin")
@@ -74,7 +88,16 @@ def examples(rows: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn"
     out = each.select(F.col("id").alias(id_col), "from_turn", F.col("x.idx").alias("turn"),
                       F.substr("page", F.lit(1), end.cast("int")).alias("text"), (stop - F.col("x.reply")).alias("loss_start"),
                       stop.alias("loss_end"), (F.col("x.idx") == F.col("last")).alias("whole"))
-    return out, stored
+    if not prefixes:
+        return out, stored
+    # only conversations of several pages have earlier ones; a target meets each page before its own
+    targets = each.where("from_turn > 0").select(F.col("id").alias("__id"), F.col("from_turn").alias("__own"),
+                                                 F.col("x.idx").alias("turn"), (F.col("x.idx") == F.col("last")).alias("whole"))
+    before = pages.select("id", "from_turn", "page").join(targets, F.col("id").eqNullSafe(F.col("__id")) & (F.col("from_turn") < F.col("__own")))
+    nothing = F.lit(None).cast("int")
+    earlier = before.select(F.col("id").alias(id_col), "from_turn", "turn", F.col("page").alias("text"), nothing.alias("loss_start"),
+                            nothing.alias("loss_end"), "whole")
+    return out.unionByName(earlier), stored
 
 
 def parse(text: Column) -> Column:
@@ -122,7 +145,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(written.df)
 
 
-#: Lengths of the written turns give those of all prefixes, as long as a conversation is one page.
+#: Lengths of the written turns give those of all prefixes.
 ORACLE = f'''
 WITH rows AS (
   SELECT conv_id, turn, role, text FROM conversations UNION ALL
