@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,9 @@ from ledgerleaf.llm.pretokens import LETTER, class_table
 
 DIMENSIONS, N = 1024, 3
 UNKNOWN = "und"
-SLAB_CHARS, SLAB_DOCS, BLOCK = 1_000_000, 256, 2_048
-CELLS = 4_000_000
+SLAB_CHARS, SLAB_DOCS = 1_000_000, 256
+#: N-grams whose vectors are laid out at a time, numbers of these vectors, and counts.
+BLOCK, BLOCK_CELLS, CELLS = 2_048, 2_000_000, 1_000_000
 
 
 @lru_cache(8_192)
@@ -70,14 +72,15 @@ class Slab:
         n = len(self.parts)
         rolled = [np.roll(letters, n - 1 - i, axis=1) for i in range(n)]
         own = group[self.owner].astype(np.int64)
-        width = max(1, CELLS // max(groups, 1) // BLOCK) * BLOCK
+        block = max(1, min(BLOCK, BLOCK_CELLS // dimensions))
+        width = max(1, CELLS // max(groups, 1) // block) * block
         out = np.zeros((groups, dimensions), kind)
         for first in range(0, self.grams, width):
             here = min(width, self.grams - first)
             in_ = slice(None) if here == self.grams else (self.found >= first) & (self.found < first + here)
             counts = np.bincount(own[in_] * here + (self.found[in_] - first), minlength=groups * here).reshape(groups, here)
-            for a in range(first, first + here, BLOCK):
-                b = min(a + BLOCK, first + here)
+            for a in range(first, first + here, block):
+                b = min(a + block, first + here)
                 bound = rolled[0][self.parts[0][a:b]]
                 for i in range(1, n):
                     bound = bound * rolled[i][self.parts[i][a:b]]
@@ -85,12 +88,14 @@ class Slab:
         return out
 
 
-def slabs(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+def slabs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """(first row, texts) of some rows at a time; null texts are empty."""
+    sizes = pc.fill_null(pc.utf8_length(column), 0).to_pylist()
     begin = size = 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= SLAB_CHARS or i + 1 - begin == SLAB_DOCS or i + 1 == len(texts):
-            yield begin, texts[begin: i + 1]
+    for i, n in enumerate(sizes):
+        size += n
+        if size >= SLAB_CHARS or i + 1 - begin == SLAB_DOCS or i + 1 == len(sizes):
+            yield begin, [t or "" for t in column.slice(begin, i + 1 - begin).to_pylist()]
             begin, size = i + 1, 0
 
 
@@ -102,10 +107,11 @@ def learn(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", di
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             langs = batch.column("lang").to_pylist()
-            for begin, texts in slabs(batch.column("text").to_pylist()):
+            for begin, texts in slabs(batch.column("text")):
                 slab = Slab(texts, n)
                 own, names = pd.factorize(np.array(langs[begin: begin + len(texts)], object))
-                bundles = slab.bundle(own, len(names), dimensions, np.float64)
+                # sums of so few ones are exact in single precision
+                bundles = slab.bundle(own, len(names), dimensions, np.float32 if len(slab.found) < 1 << 24 else np.float64)
                 for name, bundle in zip(names, bundles, strict=True):
                     sums[name] = sums.get(name, 0) + bundle.astype(np.int64)
             if len(sums) > 256:
@@ -145,7 +151,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, text_col: str =
         unit = shared.value
         for batch in batches:
             langs, scores = [], []
-            for _, texts in slabs([t or "" for t in batch.column(text_col).to_pylist()]):
+            for _, texts in slabs(batch.column(text_col)):
                 if unit is None:
                     langs += [UNKNOWN] * len(texts)
                     scores += [0.0] * len(texts)
