@@ -70,3 +70,23 @@ def test_class_sums_of_arrays_and_of_entries(spark, monkeypatch):
         monkeypatch.setattr(nb, "HELD_SUMS", held)
         got = {r.idx: r.sums for r in nb.class_sums(rows, "label", ["a", "b"]).collect()}
         assert got == {0: [1.0, 0.0], 2: [2.5, 4.0]}
+
+
+def test_documents_are_counted_where_their_terms_are_laid_out(spark, monkeypatch):
+    df = spark.createDataFrame(ROWS, "row_id long, text string")
+    for held in (gm.HELD_TERMS, 1):
+        monkeypatch.setattr(gm, "HELD_TERMS", held)
+        for rows in (df, df.where("row_id < 6")):
+            rows = ft.keyed(rows, "row_id", "text")
+            for branches in (ft.BRANCHES, ("w",), ("c",)):
+                want = ft.doc_freq(ft.term_freq(rows, CFG, branches=branches)).collect()
+                stats = ft.doc_freq(ft.term_freq(rows, CFG, branches=branches, grouped=True), CFG, branches)
+                assert sorted(stats.collect()) == sorted(want)
+
+
+def test_counts_of_terms_are_made_once_for_all_cuts(spark):
+    seen = spark.sparkContext.accumulator(0)
+    stats = spark.createDataFrame([("w__ab", 2, 3), ("w__cd", 2, 3), ("c__ab ", 1, 1)], "term string, df long, total long") \
+        .mapInArrow(lambda batches: (seen.add(b.num_rows) or b for b in batches), "term string, df long, total long")
+    assert ft.vocabulary(stats, CFG).count() == 3
+    assert seen.value == 3
