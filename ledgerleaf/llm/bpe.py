@@ -28,7 +28,7 @@ from ledgerleaf.llm.pretokens import Words, pieces
 
 NONE = np.int32(2**31 - 1)
 #: Texts of so many characters share an index; their words' symbols are what a task holds.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
 SPLIT_CHARS = 1_000_000
 
 

@@ -37,6 +37,8 @@ MAGIC = b"LLTOKIDS"
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1_000, 20_000, 64 * 1024
 SHARD_DOCS, MAX_SHARDS = 4_096, 100_000
 LEVEL = 3
+#: Texts of so many characters are encoded at a time.
+CHUNK_CHARS = 8_000_000
 
 
 class LibraryEncoder(PairIndexEncoder):
@@ -124,7 +126,7 @@ def write_ids(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: s
         kind = id_type(bpe.size)
         pack = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True,
                                         dict_data=dictionary_of(dictionary) if dictionary else None).compress
-        for batch, texts in chunked(batches, "text"):
+        for batch, texts in chunked(batches, "text", CHUNK_CHARS):
             ids = [np.append(x, np.uint32(end_id)) for x in bpe.encode_batch(texts)]
             own = batch.column("doc_id")
             known = own.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
