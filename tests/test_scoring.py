@@ -142,3 +142,14 @@ def test_evaluate_and_predict_jobs(spark, sf_dir, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "d")).count() == 2
     with pytest.raises(ValueError, match="exactly one"):
         jobs.predict(spark, str(tmp_path / "m"), str(tmp_path / "x"))
+
+
+def test_both_levels_of_thresholds_score_a_line_once(spark, sf_dir):
+    from ledgerleaf.operators import thresholds as th
+    from ledgerleaf.plans import queries as q
+
+    both = q.QUERIES["threshold_search"](spark, sf_dir)
+    assert both._jdf.queryExecution().executedPlan().toString().count("dot(") == 1
+    alone = [th.threshold_search(q._pairs(spark, sf_dir, level), ["level", "bucket", "cls"]) for level in ("coarse", "fine")]
+    keys = ["level", "bucket", "cls", "positives", "n"]
+    assert sorted(both.select(keys).collect()) == sorted(alone[0].unionByName(alone[1]).select(keys).collect())
