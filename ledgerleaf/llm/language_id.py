@@ -30,6 +30,7 @@ UNKNOWN = "und"
 SLAB_CHARS, SLAB_DOCS = 1_000_000, 256
 #: N-grams whose vectors are laid out at a time, numbers of these vectors, and counts.
 BLOCK, BLOCK_CELLS, CELLS = 2_048, 2_000_000, 1_000_000
+NESTED_CELLS, NESTED_SHARE = 8_000_000, 4
 
 
 @lru_cache(8_192)
@@ -87,6 +88,44 @@ class Slab:
                 out += counts[:, a - first: b - first].astype(kind) @ bound.astype(kind)
         return out
 
+    def bundles(self, dimensions: int) -> np.ndarray:
+        """``bundle`` of each text by itself; short texts have too few of the n-grams for a product of matrices."""
+        if NESTED_SHARE * len(self.found) < self.texts * self.grams:
+            return self.nested(dimensions)
+        return self.bundle(np.arange(self.texts), self.texts, dimensions, np.float32)
+
+    def nested(self, dimensions: int) -> np.ndarray:
+        """``bundle`` of each text by itself, text by text.
+
+        Where a text differs from the one before in fewer n-grams than it has, as one does from its own beginning, its sum
+        is that one's and the difference.  ``NESTED_CELLS`` numbers are laid out at a time.
+        """
+        letters = np.stack([letter_vector(int(p), dimensions) for p in self.points])
+        n, out = len(self.parts), np.zeros((self.texts, dimensions), np.float32)
+        rolled = [np.roll(letters, n - 1 - i, axis=1) for i in range(n)]
+        grams = max(self.grams, 1)
+        own, times = np.unique(self.owner.astype(np.int64) * grams + self.found, return_counts=True)
+        here = own + grams < self.texts * grams
+        both, at = np.unique(np.concatenate([own, own[here] + grams]), return_inverse=True)
+        change = np.bincount(at, np.concatenate([times, -times[here]]), len(both))
+        both, change = both[change != 0], change[change != 0]
+        cuts = [np.searchsorted(x, np.arange(self.texts + 1) * grams) for x in (own, both)]
+        less = np.diff(cuts[1]) < np.diff(cuts[0])
+        parts = [(own % grams, times.astype(np.float32)), (both % grams, change.astype(np.float32))]
+        width = max(1, NESTED_CELLS // grams)
+        for a in range(0, dimensions, width):
+            bound = rolled[0][self.parts[0], a: a + width]
+            for i in range(1, n):
+                bound = bound * rolled[i][self.parts[i], a: a + width]
+            bound = bound.astype(np.float32)
+            for r in range(self.texts):
+                k = int(less[r])
+                gram, factor = (x[cuts[k][r]: cuts[k][r + 1]] for x in parts[k])
+                out[r, a: a + width] = factor @ bound[gram]
+                if k:
+                    out[r, a: a + width] += out[r - 1, a: a + width]
+        return out
+
 
 def slabs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of some rows at a time; null texts are empty."""
@@ -157,7 +196,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], *, text_col: str =
                     scores += [0.0] * len(texts)
                     continue
                 slab = Slab(texts, n)
-                bundles = slab.bundle(np.arange(len(texts)), len(texts), dimensions, np.float32).astype(float)
+                bundles = slab.bundles(dimensions).astype(float)
                 cosine = bundles @ unit.T / np.maximum(np.linalg.norm(bundles, axis=1), 1e-300)[:, None]
                 best = cosine.argmax(axis=1)
                 for i, has in enumerate(slab.lettered.tolist()):

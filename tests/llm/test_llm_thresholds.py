@@ -32,3 +32,30 @@ def test_slabs_hold_every_text():
     back = [(b, t) for b, t in language_id.slabs(column)]
     assert [x for _, t in back for x in t] == [t or "" for t in texts]
     assert [b for b, _ in back] == list(np.cumsum([0, *(len(t) for _, t in back)])[:-1])
+
+
+def test_sums_text_by_text_are_those_of_the_product():
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(40):
+        text = "".join(rng.choice(list("abcdefgh ÄİΣß\n1"), 200))
+        texts += [text[:n] for n in (12, 24, 48, 96)] + [text, text]
+    slab = language_id.Slab(["", "1", "a", *texts, "", "x"])
+    product = slab.bundle(np.arange(slab.texts), slab.texts, 64, np.float32)
+    assert np.array_equal(slab.nested(64), product) and np.array_equal(slab.bundles(64), product)
+    none = language_id.Slab(["", "?"])
+    assert not none.nested(64).any()
+
+
+def test_a_document_is_scored_once(spark, monkeypatch):
+    scored, predict = [], language_id.predict
+
+    def counted(docs, *args, **kwargs):
+        scored.append(docs.where(F.length("text") > 400).count())
+        return predict(docs, *args, **kwargs)
+
+    monkeypatch.setattr(language_id, "predict", counted)
+    rows = [(i, " ".join(f"{w}{'aeiou'[i % 5]}" for w in ["some", "word", "line", "text"] * 30), "en", "s", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert cp.identify_language(spark, docs, "").count() == 20
+    assert sum(scored) == 20
